@@ -73,3 +73,9 @@ def raw(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def texts(col: pa.Array) -> list[str]:
     return [x or "" for x in col.to_pylist()]
+
+
+def small_batches(spark: SparkSession, rows: int = 500) -> None:
+    """Arrow batches of so many rows at most, for operators whose rows may be long."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
