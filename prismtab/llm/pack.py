@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import bisect
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +25,7 @@ from prismtab.llm.common import cut, steps, table, texts
 SIZE = 4096
 END_ID = 1
 #: Words whose ids a worker remembers.
-MEMO = 500_000
+MEMO = 1_500_000
 #: Slices of one length that are ranked apart have about so many pieces, or all pieces / SLICES.
 SLICE, SLICES = 256, 65536
 
@@ -52,11 +53,11 @@ class Words:
         if len(self.known) > MEMO:
             self.known = {"": b""}
         known = self.known
-        new = list({w for r in runs for w in r if w not in known})
+        new = list(set().union(*runs).difference(known))
         for at in range(0, len(new), 20_000):
             some = new[at : at + 20_000]
             for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u4").tobytes()
+                known[w] = array("I", e.ids).tobytes()
         return [b"".join(map(known.__getitem__, r)) for r in runs]
 
 
