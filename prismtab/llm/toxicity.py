@@ -1,12 +1,13 @@
 """Toxicity by weak supervision.
 
 Voters look at a text: one for each entry of a small lexicon of insults, one for each
-word or word beginning that labelled rows show to be telling, and patterns (shouting,
-insults near "you", several lexicon hits, none at all). A generative label model, fitted
-by expectation maximisation without looking at labels, estimates how often each voter
-fires on toxic and on other texts, and from what is left over which voters are
-correlated; correlated ones share one vote's weight. Its posteriors are the labels on
-which a linear classifier over words and word beginnings is trained, with an L1 penalty.
+word or word beginning that labelled rows show to be telling, and patterns (several
+lexicon hits, hits together with an address, none at all). A generative label model, fitted
+by expectation maximisation, estimates how often each voter fires on toxic and on other
+texts, and from what is left over which voters are correlated; correlated ones share one
+vote's weight. The training rows' labels are one more voter, of fixed accuracy. The model's
+posteriors are the labels on which a linear classifier over words and word beginnings
+is trained, with an L1 penalty.
 
 Only the classifier scores texts. It is fitted on at most SAMPLE labelled rows, the
 documented bound, and its weights are a few thousand numbers, whatever the corpus.
@@ -27,13 +28,15 @@ from prismtab.llm.common import raw, small_batches, steps, table
 from prismtab.llm.words import spans, word_hashes
 
 #: Labelled rows that the classifier is fitted on at most: those with the least hash of their id, equal texts once.
-SAMPLE = 8000
+SAMPLE = 4000
 SPACE_BITS = 18
 #: Lengths in bytes of word beginnings that count as features beside whole words.
 STEMS = (4, 5, 6, 7)
 #: Telling features that become voters at most, and in how many toxic rows one must be.
-MINED, LEAST = 160, 4
+MINED, LEAST = 160, 3
 THRESHOLD = 0.3
+#: Accuracy that the label model grants the rows' annotator, and slots that the classifier looks at.
+ANNOTATOR, SCREENED = 0.995, 3000
 #: The seed lexicon: common insults.
 LEXICON = (
     "idiot", "moron", "stupid", "loser", "scum", "trash", "clown", "pathetic", "worthless", "disgusting", "dumb", "imbecile", "jerk", "creep", "garbage", "filth", "vermin", "cretin", "fool", "coward",
@@ -80,37 +83,38 @@ class LabelModel:
     share: np.ndarray
     prior: float
 
-    def posterior(self, votes: np.ndarray) -> np.ndarray:
+    def posterior(self, votes: np.ndarray, annotator: np.ndarray | None = None) -> np.ndarray:
+        """The chance that each row is toxic. annotator: the labels of those who looked, a voter of known accuracy."""
         log = lambda a, b: np.log(a) - np.log(b)
-        weight = np.where(votes, log(self.toxic, self.other), log(1 - self.toxic, 1 - self.other)) * self.share
-        return _sigmoid(log(self.prior, 1 - self.prior) + weight.sum(1))
+        fired, silent = log(self.toxic, self.other) * self.share, log(1 - self.toxic, 1 - self.other) * self.share
+        z = log(self.prior, 1 - self.prior) + votes @ (fired - silent) + silent.sum()
+        if annotator is not None:
+            z = z + log(ANNOTATOR, 1 - ANNOTATOR) * (2 * annotator - 1)
+        return _sigmoid(z)
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def label_model(votes: np.ndarray, sign: np.ndarray, prior: float, rounds: int = 25) -> LabelModel:
-    """Fitted by expectation maximisation. votes: rows x voters, fired or not; sign: 1 if a voter speaks for toxic, -1 against."""
+def label_model(votes: np.ndarray, prior: float, annotator: np.ndarray | None = None, rounds: int = 20) -> LabelModel:
+    """Fitted by expectation maximisation. votes: rows x voters, fired or not, the last one speaking against toxic."""
     n, m = votes.shape
     v = votes.astype(np.float64)
-    rate = (v.sum(0) + 0.5) / (n + 1)
-    toxic = np.clip(np.where(sign > 0, rate / prior * 0.7, rate * 0.3), 1e-4, 0.95)
-    other = np.clip(np.where(sign > 0, rate * 0.2, np.minimum(rate * 1.1, 0.99)), 1e-5, 0.99)
-    model = LabelModel(toxic, other, np.ones(m), prior)
-    for i in range(rounds):
-        p = model.posterior(votes)
+    p = np.clip(v[:, :-1].sum(1) / 2, 0.02, 0.95) if annotator is None else np.where(annotator > 0, ANNOTATOR, 1 - ANNOTATOR)
+    model = None
+    for _ in range(rounds):
         t, o = p.sum(), (1 - p).sum()
-        toxic = np.clip((p @ v + 0.5) / (t + 1), 1e-4, 1 - 1e-4)
-        other = np.clip(((1 - p) @ v + 0.05) / (o + 0.1), 1e-5, 1 - 1e-4)
+        toxic = np.clip((p @ v + 0.5) / (t + 1), 1e-3, 1 - 1e-3)
+        other = np.clip(((1 - p) @ v + 0.5) / (o + 1), 1e-3, 1 - 1e-3)
         # Left over once the class is known: voters that still fire together are one opinion heard twice.
         centered = v - p[:, None] * toxic - (1 - p)[:, None] * other
         norm = np.sqrt((centered**2).mean(0)) + 1e-9
-        correlation = (centered.T @ centered) / n / np.outer(norm, norm)
-        together = np.where(np.abs(correlation) > 0.3, np.abs(correlation), 0)
+        correlation = np.abs((centered.T @ centered) / n / np.outer(norm, norm))
+        together = np.where(correlation > 0.3, correlation, 0)
         np.fill_diagonal(together, 1)
-        share = 1 / together.sum(1)
-        model = LabelModel(toxic, other, share, float(np.clip(t / n, 0.005, 0.6)) if i > 2 else prior)
+        model = LabelModel(toxic, other, 1 / together.sum(1), float(np.clip(t / n, 0.005, 0.6)))
+        p = model.posterior(votes, annotator)
     return model
 
 
@@ -128,77 +132,78 @@ class Classifier:
         return out
 
 
-def linear(row: np.ndarray, slot: np.ndarray, target: np.ndarray, l1: float = 3e-4, rounds: int = 300) -> Classifier:
-    """Logistic regression on the presence of slots, by accelerated proximal gradient."""
-    n = len(target)
-    kept, column = np.unique(slot, return_inverse=True)
-    m = len(kept)
-    if not n or not m:
-        rate = float(np.clip(target.mean() if n else 0.1, 0.01, 0.99))
-        return Classifier(np.zeros(0, np.int64), np.zeros(0, np.float32), float(np.log(rate / (1 - rate))))
-    # Each slot's gradient is scaled by how often it occurs, so rare words learn as fast as frequent ones.
-    step = 4.0 * n / (np.bincount(column, minlength=m) * 8.0)
-    w, z, t, b = np.zeros(m), np.zeros(m), 1.0, float(np.log((target.mean() + 1e-3) / (1 - target.mean() + 1e-3)))
+def linear(row: np.ndarray, slot: np.ndarray, target: np.ndarray, l1: float = 4e-4, rounds: int = 400) -> Classifier:
+    """Logistic regression on the presence of the SCREENED most telling slots, with an L1 penalty, by accelerated proximal gradient."""
+    n, share = len(target), float(np.clip(target.mean() if len(target) else 0.1, 1e-3, 1 - 1e-3))
+    bias = float(np.log(share / (1 - share)))
+    fired = np.bincount(slot, minlength=1 << SPACE_BITS)
+    on_toxic = np.bincount(slot, target[row], 1 << SPACE_BITS)
+    z = np.abs(on_toxic - share * fired) / np.sqrt(share * (1 - share) * fired + 1)
+    kept = np.sort(np.argsort(-z, kind="stable")[:SCREENED])
+    kept = kept[z[kept] > 2]
+    if not len(kept):
+        return Classifier(np.zeros(0, np.int64), np.zeros(0, np.float32), bias)
+    at = np.full(1 << SPACE_BITS, -1, np.int64)
+    at[kept] = np.arange(len(kept))
+    used = at[slot] >= 0
+    x = np.zeros((n, len(kept) + 1), np.float32)
+    x[row[used], at[slot[used]]] = 1
+    x[:, -1] = 1  # the bias, not penalised
+    u = np.ones(x.shape[1], np.float32)
+    for _ in range(12):
+        u = x.T @ (x @ u)
+        norm = float(np.linalg.norm(u))
+        u /= norm
+    step = np.float32(4 * n / norm)
+    w, t = np.zeros(x.shape[1], np.float32), 1.0
+    w[-1] = bias
+    y, least = w.copy(), np.full(x.shape[1], step * l1, np.float32)
+    least[-1] = 0
     for _ in range(rounds):
-        err = _sigmoid(b + np.bincount(row, z[column], n)) - target
-        b -= 1.0 * err.mean()
-        g = np.bincount(column, err[row], m) / n
-        x = z - step * g
-        new = np.sign(x) * np.maximum(np.abs(x) - step * l1, 0)
-        if ((z - new) * (new - w)).sum() > 0:
-            t, z = 1.0, new  # restart where the momentum points back
-        else:
-            nt = (1 + np.sqrt(1 + 4 * t * t)) / 2
-            z = new + (t - 1) / nt * (new - w)
-            t = nt
-        w = np.clip(new, -12, 12)
-        z = np.clip(z, -12, 12)
-    used = np.abs(w) > 1e-6
-    return Classifier(kept[used], w[used].astype(np.float32), b)
-
-
-def voters(row: np.ndarray, slot: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[int]]:
-    """Votes (rows x voters), what each speaks for, and the slots of the mined voters."""
+        g = x.T @ (_sigmoid(x @ y) - target).astype(np.float32) / n
+        new = y - step * g
+        new = np.sign(new) * np.maximum(np.abs(new) - least, 0)
+        if float((y - new) @ (new - w)) > 0:
+            t = 1.0  # the momentum points back
+        nt = (1 + np.sqrt(1 + 4 * t * t)) / 2
+        y, w, t = new + np.float32((t - 1) / nt) * (new - w), new, nt
+    some = np.flatnonzero(np.abs(w[:-1]) > 1e-6)
+    return Classifier(kept[some], w[some], float(w[-1]))
+
+
+def voters(row: np.ndarray, slot: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, list[int]]:
+    """Votes (rows x voters), the last one against toxic, and the slots of the mined voters."""
     n = len(toxic)
     fired = np.zeros((1 << SPACE_BITS,), np.int64)
     fired_toxic = np.zeros_like(fired)
     np.add.at(fired, slot, 1)
-    np.add.at(fired_toxic, slot, toxic[row])
+    np.add.at(fired_toxic, slot, toxic[row].astype(np.int64))
     share = toxic.mean() if n else 0
     score = np.where(fired_toxic >= LEAST, (fired_toxic - share * fired) / np.sqrt(fired + 1.0), 0)
     precise = np.where(fired > 0, fired_toxic / np.maximum(fired, 1), 0) > 0.6 + 0.4 * share
-    ranked = np.argsort(-np.where(precise, score, 0), kind="stable")
-    mined = [int(s) for s in ranked[: 4 * MINED] if precise[s] and score[s] > 0]
-    # Of mined voters that fire on the same rows, one is enough.
-    where: dict[int, np.ndarray] = {}
+    ranked = np.argsort(-np.where(precise, score, 0), kind="stable")[: 4 * MINED]
     order = np.argsort(slot, kind="stable")
-    for s in mined:
-        a, b = np.searchsorted(slot[order], (s, s + 1))
-        where[s] = np.sort(row[order[a:b]])
-    seen, chosen = set(), []
-    for s in mined:
-        key = where[s].tobytes()
-        if key not in seen:
-            seen.add(key)
-            chosen.append(s)
-    chosen = chosen[:MINED]
-    lexicon = [s for s in dict.fromkeys(_word_slots(LEXICON)) if s not in chosen]
-    columns = [*chosen, *lexicon]
+    by_slot, by_row = slot[order], row[order]
+
+    def where(s: int) -> np.ndarray:
+        a, b = np.searchsorted(by_slot, (s, s + 1))
+        return by_row[a:b]
+
+    # Of mined voters that fire on the same rows, one is enough.
+    chosen: dict[bytes, int] = {}
+    for s in ranked[precise[ranked] & (score[ranked] > 0)].tolist():
+        chosen.setdefault(np.sort(where(s)).tobytes(), s)
+    mined = list(chosen.values())[:MINED]
+    columns = [*mined, *[s for s in dict.fromkeys(_word_slots(LEXICON)) if s not in mined]]
     votes = np.zeros((n, len(columns) + 4), bool)
     for j, s in enumerate(columns):
-        if s in where:
-            votes[where[s], j] = True
-        else:
-            a, b = np.searchsorted(slot[order], (s, s + 1))
-            votes[row[order[a:b]], j] = True
+        votes[where(s), j] = True
     hits = votes.sum(1)
     you = np.isin(slot, _word_slots(_YOU))
     address = np.zeros(n, bool)
     address[row[you]] = True
     votes[:, -4], votes[:, -3], votes[:, -2], votes[:, -1] = hits >= 2, hits >= 4, address & (hits >= 1), hits == 0
-    sign = np.ones(votes.shape[1])
-    sign[-1] = -1
-    return votes, sign, chosen
+    return votes, mined
 
 
 def fit(sample: DataFrame) -> tuple[Classifier, LabelModel | None]:
@@ -223,9 +228,9 @@ def fit(sample: DataFrame) -> tuple[Classifier, LabelModel | None]:
     row, slot = row[often[slot]], slot[often[slot]]
     if not 0 < toxic.sum() < len(toxic):
         return linear(row, slot, toxic), None
-    votes, sign, _ = voters(row, slot, toxic)
-    model = label_model(votes, sign, float(toxic.mean()))
-    return linear(row, slot, model.posterior(votes)), model
+    votes, _ = voters(row, slot, toxic)
+    model = label_model(votes, float(toxic.mean()), toxic)
+    return linear(row, slot, model.posterior(votes, toxic)), model
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFrame:
