@@ -1,13 +1,64 @@
-"""The corpus pipeline: each stage takes what its predecessor kept."""
+"""The corpus pipeline: toxic documents go, one document of each near-duplicate group stays,
+repeated passages and secrets are taken out of the texts, and what is left is packed.
+
+Each stage takes (spark, docs, sf_dir), where docs is all that its predecessor kept, and
+all but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from prismtab.llm import minhash, pack, secrets, substring, toxicity
+from prismtab.llm.common import row_key, small_batches, table
+
+
+def toxic_documents_go(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents that the classifier predicts to be toxic."""
+    small_batches(spark)
+    model, _ = toxicity.fit(toxicity.training_rows(docs, table(spark, sf_dir, "labels")))
+    return toxicity.score(docs, model, keep=True).filter("predicted = 0").select(*docs.columns)
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the least doc_id of each group linked by 0.8 of their five-word shingles. Of equal rows one stays."""
+    small_batches(spark)
+    kept = minhash.clustered(docs, 5, 0.8).filter("doc_id is null or doc_id = component_id").select("rk")
+    rows = docs.withColumn("rk", row_key("doc_id", "text")).join(kept.distinct().hint("shuffle_hash"), "rk", "left_semi")
+    if kept.count() != kept.distinct().count():
+        rows = rows.dropDuplicates(["rk"])
+    return rows.select(*docs.columns)
+
+
+def repeated_passages_go(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without words that a window of 20 covers which also starts earlier."""
+    small_batches(spark)
+    out = substring.deduplicated(docs)
+    return out.withColumn("n_chars", F.char_length("text").cast("long"))
+
+
+def secrets_go(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts with each secret replaced by a mark."""
+    out = secrets.redacted(docs)
+    return out.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All pieces, with their sequences."""
+    small_batches(spark)
+    return pack.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
-from prismtab.llm.common import table
 
-STAGES: list = []
-#: SQL cannot express these stages.
+STAGES = [
+    ("toxicity", toxic_documents_go),
+    ("MinHash near-dedup", one_of_each_group),
+    ("substring dedup", repeated_passages_go),
+    ("secret scans", secrets_go),
+    ("best-fit packing", packed),
+]
+#: SQL can't express a fitted classifier or a tokenizer; tests hold each stage against a brute-force version.
 ORACLE_SQL = None
 
 

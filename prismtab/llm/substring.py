@@ -116,8 +116,8 @@ _SENT = "part int, kind int, blob binary"
 _SENT_KINDS, _SENT_NAMES = (pa.int32(), pa.int32(), pa.binary()), ["part", "kind", "blob"]
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(row_key("doc_id", "text").alias("rk"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+def _keyed(docs: DataFrame, more: list[str]) -> DataFrame:
+    return docs.select(row_key("doc_id", "text").alias("rk"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *more)
 
 
 def repeated_prefixes(docs: DataFrame, window: int, prefix: int) -> DataFrame:
@@ -257,7 +257,9 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX
 
         yield from _batches(rows(), (pa.int64(), pa.binary()), ["rk", "blob"])
 
-    candidates = docs.join(repeated_prefixes(docs, window, prefix).hint("shuffle_hash"), "rk").select("rk", "doc_id", "text", "blobs")
+    # All columns go along, though only four are looked at: so both joins to the text can read one shuffle of it.
+    others = [c for c in docs.columns if c not in ("rk", "doc_id", "text")]
+    candidates = docs.join(repeated_prefixes(docs, window, prefix).hint("shuffle_hash"), "rk").select("rk", "doc_id", "text", "blobs", *others)
     sent = candidates.mapInArrow(send, _SENT)
     found = sent.repartition(partitions(docs.sparkSession), "part").sortWithinPartitions("part").mapInArrow(merge, "rk long, blob binary")
     return found.groupBy("rk").agg(F.collect_list("blob").alias("blobs"))
@@ -276,10 +278,10 @@ def kept(text: bytes, blobs: list[bytes] | None, window: int) -> tuple[int, int,
     return len(words), int(len(words) - stay.sum()), list(compress(words, stay.tolist()))
 
 
-def with_repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX) -> DataFrame:
-    """rk, doc_id, text, blobs of every document: its runs of windows that also start earlier, null for none."""
-    keyed = _keyed(docs)
-    return keyed.join(repeated_windows(keyed, window, prefix).hint("shuffle_hash"), "rk", "left").select("rk", "doc_id", "text", "blobs")
+def with_repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, more: list[str] = ()) -> DataFrame:
+    """rk, doc_id, text, blobs and more of every document: blobs has its runs of windows that also start earlier, null for none."""
+    keyed = _keyed(docs, list(more))
+    return keyed.join(repeated_windows(keyed, window, prefix).hint("shuffle_hash"), "rk", "left").select("rk", "doc_id", "text", "blobs", *more)
 
 
 def removed(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -304,20 +306,21 @@ def removed(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, text, n_removed: texts without the repeated words. A text that loses none stays as it is; else the words left are joined by a blank."""
+    """docs with its texts without the repeated words. A text that loses none stays as it is; else the words left are joined by a blank. Null text becomes empty."""
+    more = [c for c in docs.columns if c not in ("doc_id", "text")]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for k, i, t, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                gone = 0
+            out = []
+            for t, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 if b:
                     _, gone, words = kept(t.encode(), b, window)
                     t = b" ".join(words).decode() if gone else t
-                rows.append((k, i, t, gone))
-            yield _batch(rows, (pa.int64(), pa.int64(), pa.string(), pa.int64()), ["rk", "doc_id", "text", "n_removed"])
+                out.append(t)
+            yield pa.record_batch([batch.column(1), pa.array(out, pa.string()), *batch.columns[4:]], names=["doc_id", "text", *batch.schema.names[4:]])
 
-    return with_repeats(docs, window).mapInArrow(work, "rk long, doc_id long, text string, n_removed long")
+    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in more)
+    return with_repeats(docs, window, more=more).mapInArrow(work, "doc_id long, text string" + (", " + fields if fields else "")).select(*docs.columns)
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
