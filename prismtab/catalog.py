@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from prismtab.plans import marketing, profiling
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+for _group in (marketing, profiling):
+    QUERIES |= _group.C.queries
+    ORACLE_SQL |= _group.C.sql
