@@ -143,7 +143,7 @@ def with_confidence(df: DataFrame, steps: int = 1, confidence: float = 0.95) ->
     errors = _moving_errors(F.col("xs"), WINDOW)
     spread = F.when(F.size(errors) == 0, 1.0).otherwise(F.sqrt(_mean(F.transform(errors, lambda e: (e["a"] - e["p"]) * (e["a"] - e["p"])))))
     margin = F.when(F.size("xs") == 0, 0.0).otherwise(z * spread)
-    f = forecasts(df, steps).select("series", margin.alias("margin"), F.posexplode("ensemble.predictions").alias("step", "prediction"))
+    f = forecasts(df, steps).withColumn("margin", margin).select("series", "margin", F.posexplode("ensemble.predictions").alias("step", "prediction"))
     return f.select("series", "step", "prediction", F.round(F.col("prediction") - F.col("margin"), 6).alias("lower"), F.round(F.col("prediction") + F.col("margin"), 6).alias("upper"))
 
 
