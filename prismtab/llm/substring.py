@@ -11,7 +11,7 @@ whose length varies:
    equal such prefixes, and about one position in seven is counted. Where a
    prefix occurs once, the window is a leaf, and it is not looked at again.
 2. The other windows' prefixes are lengthened to the whole window. Groups go by its
-   hash to parts that fit memory; each task first merges its own suffixes and
+   hash to as many parts as there are shuffle partitions; each task first merges its own suffixes and
    sends one for each node, so a passage that occurs in a third of all documents
    costs a row for each task.
 
@@ -37,8 +37,6 @@ from prismtab.llm.words import BASES, gram_hashes, spans, word_hashes
 WINDOW, PREFIX = 20, 8
 #: Suffixes that a task gathers before it merges and sends them.
 GATHER = 1 << 20
-#: Parts of the hash space for each shuffle partition; a part is worked on as a whole.
-PARTS = 8
 _LAST = np.iinfo(np.int64).max
 
 
@@ -56,6 +54,27 @@ def unpack(blobs: list[bytes], kinds: tuple[str, ...]) -> list[np.ndarray]:
     return [np.concatenate(p) if p else np.zeros(0, k) for p, k in zip(parts, kinds, strict=True)]
 
 
+def partition_keys(n: int) -> list[int]:
+    """For each of n partitions a whole number that hash partitioning puts there (Murmur3 of an int with seed 42), so that n parts fill n partitions."""
+    out, found, at = np.zeros(n, np.int64), np.zeros(n, bool), 0
+    while not found.all():
+        k = np.arange(at, at + 4 * n, dtype=np.uint64)
+        at += 4 * n
+        m = np.uint64(0xFFFFFFFF)
+        turn = lambda x, r: ((x << np.uint64(r)) | (x >> np.uint64(32 - r))) & m
+        h = turn(k * np.uint64(0xCC9E2D51) & m, 15) * np.uint64(0x1B873593) & m
+        h = (turn(np.uint64(42) ^ h, 13) * np.uint64(5) + np.uint64(0xE6546B64)) & m
+        h ^= np.uint64(4)
+        h = (h ^ (h >> np.uint64(16))) * np.uint64(0x85EBCA6B) & m
+        h = (h ^ (h >> np.uint64(13))) * np.uint64(0xC2B2AE35) & m
+        h ^= h >> np.uint64(16)
+        p = h.astype(np.uint32).view(np.int32).astype(np.int64) % n
+        new, first = np.unique(p, return_index=True)
+        fresh = ~found[new]
+        out[new[fresh]], found[new[fresh]] = k[first[fresh]].astype(np.int64), True
+    return out.tolist()
+
+
 def grouped(keys: np.ndarray, columns: list[np.ndarray], kinds: tuple[str, ...]) -> Iterator[tuple[int, bytes]]:
     """For each key the columns' rows, in the order given, packed."""
     order = np.argsort(keys, kind="stable")
@@ -122,7 +141,8 @@ def _keyed(docs: DataFrame, more: list[str]) -> DataFrame:
 
 def repeated_prefixes(docs: DataFrame, window: int, prefix: int) -> DataFrame:
     """rk, blobs: for each document the words at which a chosen prefix begins that occurs elsewhere too."""
-    n_parts = partitions(docs.sparkSession) * PARTS
+    n_parts = partitions(docs.sparkSession)
+    part_key = partition_keys(n_parts)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
@@ -137,10 +157,10 @@ def repeated_prefixes(docs: DataFrame, window: int, prefix: int) -> DataFrame:
             many = np.diff(np.flatnonzero(np.append(new, True))) > 1
             part = ((h[new] >> np.uint64(33)) % np.uint64(n_parts)).astype(np.int64)
             for p, blob in grouped(part, [h[new], rk[new], pos[new], many], ("u8", "i8", "i4", "i1")):
-                yield p, 0, blob
+                yield part_key[p], 0, blob
             old = ~new
             for p, blob in grouped(rk[old] % n_parts, [rk[old], pos[old]], ("i8", "i4")):
-                yield p, 1, blob
+                yield part_key[p], 1, blob
 
         n = 0
         for batch in batches:
@@ -185,17 +205,17 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX
 
     docs: rk, doc_id, text, as of _keyed. Earlier is a smaller doc_id, then a smaller rk, then an earlier word.
     """
-    n_parts = partitions(docs.sparkSession) * PARTS
+    n_parts = partitions(docs.sparkSession)
+    part_key = partition_keys(n_parts)
     kinds = ("u8", "u4", "i8", "i8", "i4")
 
-    def runs(rk: np.ndarray, start: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    def runs(rk: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         order = np.lexsort((start, rk))
         rk, start = rk[order], start[order]
         fresh = np.ones(len(rk), bool)
         fresh[1:] = (rk[1:] != rk[:-1]) | (start[1:] != start[:-1] + 1)
         at = np.flatnonzero(fresh)
-        size = np.diff(np.append(at, len(rk)))
-        yield from grouped(rk[at], [start[at], size], ("i4", "i4"))
+        return rk[at], start[at], np.diff(np.append(at, len(rk)))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
@@ -213,9 +233,10 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX
             mine = lead[np.lexsort((start[lead], rk[lead], doc[lead]))]
             part = ((h[mine] >> np.uint64(33)) % np.uint64(n_parts)).astype(np.int64)
             for p, blob in grouped(part, [h[mine], check[mine], doc[mine], rk[mine], start[mine]], kinds):
-                yield p, 0, blob
-            for key, blob in runs(rk[old], start[old]):
-                yield key % n_parts, 1, key.to_bytes(8, "little", signed=True) + blob
+                yield part_key[p], 0, blob
+            key, first, size = runs(rk[old], start[old])
+            for p, blob in grouped(key % n_parts, [key, first, size], ("i8", "i4", "i4")):
+                yield part_key[p], 1, blob
 
         n = 0
         for batch in batches:
@@ -251,9 +272,8 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX
                 lead = np.flatnonzero(new)
                 node = np.cumsum(new) - 1
                 old = ~new & ~((rk == rk[lead][node]) & (start == start[lead][node]))
-                yield from runs(rk[old], start[old])
-                for b in on:
-                    yield int.from_bytes(b[:8], "little", signed=True), b[8:]
+                columns = [np.concatenate(c) for c in zip(runs(rk[old], start[old]), unpack(on, ("i8", "i4", "i4")), strict=True)]
+                yield from grouped(columns[0], columns[1:], ("i4", "i4"))
 
         yield from _batches(rows(), (pa.int64(), pa.binary()), ["rk", "blob"])
 
