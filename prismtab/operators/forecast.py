@@ -63,7 +63,7 @@ def moving_average(xs: Column, horizon: int = 5, window: int = WINDOW) -> Column
 
 def exponential_smoothing(xs: Column, horizon: int = 5, alpha: float = ALPHA) -> Column:
     """(predictions, errors): the last smoothed value for all steps; each value is predicted by the smoothed one before it."""
-    start = F.struct(F.element_at(xs, 1).alias("s"), F.array().cast("array<double>").alias("ps"))
+    start = F.struct(F.coalesce(F.try_element_at(xs, F.lit(1)), F.lit(0.0)).alias("s"), F.array().cast("array<double>").alias("ps"))
     step = lambda a, x: F.struct((alpha * x + (1 - alpha) * a["s"]).alias("s"), F.concat(a["ps"], F.array(a["s"])).alias("ps"))
     run = F.aggregate(F.slice(xs, 2, F.greatest(F.size(xs) - 1, F.lit(0))), start, step)
     rest = F.slice(xs, 2, F.greatest(F.size(xs) - 1, F.lit(0)))
