@@ -135,12 +135,30 @@ _SENT = "part int, kind int, blob binary"
 _SENT_KINDS, _SENT_NAMES = (pa.int32(), pa.int32(), pa.binary()), ["part", "kind", "blob"]
 
 
+def _dealt(sent: DataFrame) -> DataFrame:
+    return sent.repartition(partitions(sent.sparkSession), "part").sortWithinPartitions("part")
+
+
+def _by_document(dealt: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
+    """rk, blob: one row for each document, from blobs of (rk, columns of these kinds), dealt by rk."""
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple]:
+            for blobs, _ in _parts(batches):
+                keys, *columns = unpack(blobs, ("i8", *kinds))
+                yield from grouped(keys, columns, kinds)
+
+        yield from _batches(rows(), (pa.int64(), pa.binary()), ["rk", "blob"])
+
+    return dealt.mapInArrow(gather, "rk long, blob binary")
+
+
 def _keyed(docs: DataFrame, more: list[str]) -> DataFrame:
     return docs.select(row_key("doc_id", "text").alias("rk"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *more)
 
 
 def repeated_prefixes(docs: DataFrame, window: int, prefix: int) -> DataFrame:
-    """rk, blobs: for each document the words at which a chosen prefix begins that occurs elsewhere too."""
+    """rk, blob: for each document the words at which a chosen prefix begins that occurs elsewhere too."""
     n_parts = partitions(docs.sparkSession)
     part_key = partition_keys(n_parts)
 
@@ -191,17 +209,17 @@ def repeated_prefixes(docs: DataFrame, window: int, prefix: int) -> DataFrame:
                 same[1:-1] = h[1:] == h[:-1]
                 many |= same[1:] | same[:-1]
                 rk2, pos2 = unpack(on, ("i8", "i4"))
-                yield from grouped(np.concatenate((rk[many], rk2)), [np.concatenate((pos[many], pos2))], ("i4",))
+                keys, found = np.concatenate((rk[many], rk2)), np.concatenate((pos[many], pos2))
+                for p, blob in grouped(keys % n_parts, [keys, found], ("i8", "i4")):
+                    yield part_key[p], 0, blob
 
-        yield from _batches(rows(), (pa.int64(), pa.binary()), ["rk", "blob"])
+        yield from _batches(rows(), _SENT_KINDS, _SENT_NAMES)
 
-    sent = docs.select("rk", "text").mapInArrow(send, _SENT)
-    found = sent.repartition(partitions(docs.sparkSession), "part").sortWithinPartitions("part").mapInArrow(merge, "rk long, blob binary")
-    return found.groupBy("rk").agg(F.collect_list("blob").alias("blobs"))
+    return _by_document(_dealt(_dealt(docs.select("rk", "text").mapInArrow(send, _SENT)).mapInArrow(merge, _SENT)), ("i4",))
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX) -> DataFrame:
-    """rk, blobs: for each document the runs (first window, how many) of windows that also start earlier.
+    """rk, blob: for each document the runs (first window, how many) of windows that also start earlier.
 
     docs: rk, doc_id, text, as of _keyed. Earlier is a smaller doc_id, then a smaller rk, then an earlier word.
     """
@@ -249,8 +267,8 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX
                     continue
                 first = np.searchsorted(row, np.arange(len(some)))
                 marked = np.zeros(len(words), bool)
-                for i, blobs in enumerate(some.column(3).to_pylist()):
-                    marked[first[i] + unpack(blobs, ("i4",))[0]] = True
+                for i, blob in enumerate(some.column(3).to_pylist()):
+                    marked[first[i] + unpack([blob], ("i4",))[0]] = True
                 begins = begins[marked[at]]
                 r = row[begins]
                 held.append((gram_hashes(words, window)[begins], (gram_hashes(words, window, BASES[1])[begins] >> np.uint64(32)).astype(np.uint32), pc.fill_null(some.column(1), _LAST).to_numpy()[r], some.column(0).to_numpy()[r], begins - first[r]))
@@ -273,24 +291,23 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX
                 node = np.cumsum(new) - 1
                 old = ~new & ~((rk == rk[lead][node]) & (start == start[lead][node]))
                 columns = [np.concatenate(c) for c in zip(runs(rk[old], start[old]), unpack(on, ("i8", "i4", "i4")), strict=True)]
-                yield from grouped(columns[0], columns[1:], ("i4", "i4"))
+                for p, blob in grouped(columns[0] % n_parts, columns, ("i8", "i4", "i4")):
+                    yield part_key[p], 0, blob
 
-        yield from _batches(rows(), (pa.int64(), pa.binary()), ["rk", "blob"])
+        yield from _batches(rows(), _SENT_KINDS, _SENT_NAMES)
 
     # All columns go along, though only four are looked at: so both joins to the text can read one shuffle of it.
     others = [c for c in docs.columns if c not in ("rk", "doc_id", "text")]
-    candidates = docs.join(repeated_prefixes(docs, window, prefix).hint("shuffle_hash"), "rk").select("rk", "doc_id", "text", "blobs", *others)
-    sent = candidates.mapInArrow(send, _SENT)
-    found = sent.repartition(partitions(docs.sparkSession), "part").sortWithinPartitions("part").mapInArrow(merge, "rk long, blob binary")
-    return found.groupBy("rk").agg(F.collect_list("blob").alias("blobs"))
+    candidates = docs.join(repeated_prefixes(docs, window, prefix).hint("shuffle_hash"), "rk").select("rk", "doc_id", "text", "blob", *others)
+    return _by_document(_dealt(_dealt(candidates.mapInArrow(send, _SENT)).mapInArrow(merge, _SENT)), ("i4", "i4"))
 
 
-def kept(text: bytes, blobs: list[bytes] | None, window: int) -> tuple[int, int, list[bytes]]:
+def kept(text: bytes, blob: bytes | None, window: int) -> tuple[int, int, list[bytes]]:
     """Words, removed words, and the words that are left."""
     words = text.split()
-    if not blobs:
+    if blob is None:
         return len(words), 0, words
-    start, size = unpack(blobs, ("i4", "i4"))
+    start, size = unpack([blob], ("i4", "i4"))
     edge = np.zeros(len(words) + 1, np.int64)
     np.add.at(edge, start, 1)
     np.add.at(edge, start + size + window - 1, -1)
@@ -299,9 +316,9 @@ def kept(text: bytes, blobs: list[bytes] | None, window: int) -> tuple[int, int,
 
 
 def with_repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, more: list[str] = ()) -> DataFrame:
-    """rk, doc_id, text, blobs and more of every document: blobs has its runs of windows that also start earlier, null for none."""
+    """rk, doc_id, text, blob and more of every document: blob has its runs of windows that also start earlier, null for none."""
     keyed = _keyed(docs, list(more))
-    return keyed.join(repeated_windows(keyed, window, prefix).hint("shuffle_hash"), "rk", "left").select("rk", "doc_id", "text", "blobs", *more)
+    return keyed.join(repeated_windows(keyed, window, prefix).hint("shuffle_hash"), "rk", "left").select("rk", "doc_id", "text", "blob", *more)
 
 
 def removed(docs: DataFrame, window: int = WINDOW) -> DataFrame:
