@@ -153,7 +153,7 @@ def thresholds(tokens: DataFrame) -> dict[int, int]:
 
 
 def scanned(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with `base`, the known shapes' spans in order, and `tokens`, all tested tokens. Null text counts as empty."""
+    """docs with `__base`, the known shapes' spans in order, and `__tokens`, all tested tokens. Null text counts as empty."""
     t = F.coalesce(F.col(text), F.lit(""))
     low = F.lower(t)
     named = low.contains("passw") | low.contains("secret") | low.contains("token") | low.contains("api")
@@ -164,23 +164,23 @@ def scanned(docs: DataFrame, text: str = "text") -> DataFrame:
     of = lambda spans, k: F.transform(spans, lambda m: F.struct(m["start"].alias("start"), F.lit(k).alias("kind"), m["end"].alias("end")))
     base = F.array_sort(F.concat(of(assign, 0), of(access, 1), of(hexes, 2)))
     tokens = F.when(t.rlike(TOKEN), tested(found(t, TOKEN)))
-    return docs.withColumns({"base": base, "tokens": tokens})
+    return docs.withColumns({"__base": base, "__tokens": tokens})
 
 
 def with_spans(cutted: DataFrame) -> DataFrame:
-    """A cut table with base and tokens: `spans` instead of tokens, all in order, with what the battery finds clear of the base spans."""
-    least = thresholds(cutted.select(F.explode("tokens").alias("t")).select("t.cls", "t.level"))
+    """A cut table with __base and __tokens: `__spans` instead of the latter, all in order, with what the battery finds clear of the base spans."""
+    least = thresholds(cutted.select(F.explode("__tokens").alias("t")).select("t.cls", "t.level"))
 
     def counts(t: Column) -> Column:
         ok = F.lit(False)
         for cls, at in least.items():
             ok = ok | ((t["cls"] == cls) & (t["level"] >= at))
-        clear = ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"]))
+        clear = ~F.exists("__base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"]))
         return ok & (t["p_random"] >= NOT_RANDOM) & clear
 
-    more = F.transform(F.filter("tokens", counts), lambda t: F.struct(t["start"].alias("start"), F.lit(3).alias("kind"), t["end"].alias("end")))
+    more = F.transform(F.filter("__tokens", counts), lambda t: F.struct(t["start"].alias("start"), F.lit(3).alias("kind"), t["end"].alias("end")))
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
-    return cutted.withColumn("spans", F.array_sort(F.concat("base", F.coalesce(more, none)))).drop("tokens")
+    return cutted.withColumn("__spans", F.array_sort(F.concat("__base", F.coalesce(more, none)))).drop("__tokens")
 
 
 def listed(spans: Column) -> Column:
@@ -197,7 +197,7 @@ def scan(docs: DataFrame) -> DataFrame:
     """
     out = with_spans(cut(scanned(docs.select("doc_id", "text")).drop("text")))
     n = lambda spans, k: F.size(F.filter(spans, lambda s: s["kind"] == k)).cast("long")
-    return out.select(F.col("doc_id").cast("long").alias("doc_id"), n("base", 0).alias("n_assign"), n("base", 1).alias("n_access"), n("base", 2).alias("n_hex"), F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"), n("spans", 3).alias("n_random"))
+    return out.select(F.col("doc_id").cast("long").alias("doc_id"), n("__base", 0).alias("n_assign"), n("__base", 1).alias("n_access"), n("__base", 2).alias("n_hex"), F.sha2(listed(F.col("__base")), 256).alias("base_sha256"), listed(F.col("__spans")).alias("spans"), n("__spans", 3).alias("n_random"))
 
 
 def redacted(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
@@ -214,7 +214,7 @@ def redacted(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
         return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.when(fresh, more).otherwise(a["out"]).alias("out"))
 
     rest = lambda a: F.concat(F.array_join(a["out"], ""), F.substring(F.col("text"), a["at"] + 1, F.length("text")))
-    return both.withColumn("text", F.when(F.size("spans") == 0, F.col("text")).otherwise(F.aggregate("spans", start, step, rest))).drop("base", "spans")
+    return both.withColumn("text", F.when(F.size("__spans") == 0, F.col("text")).otherwise(F.aggregate("__spans", start, step, rest))).drop("__base", "__spans")
 
 
 def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:

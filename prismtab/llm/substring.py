@@ -345,6 +345,7 @@ def removed(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 def deduplicated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs with its texts without the repeated words. A text that loses none stays as it is; else the words left are joined by a blank. Null text becomes empty."""
     more = [c for c in docs.columns if c not in ("doc_id", "text")]
+    inner = {c: f"more_{i}" for i, c in enumerate(more)}  # a column of any name may come along
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -356,8 +357,10 @@ def deduplicated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 out.append(t)
             yield pa.record_batch([batch.column(1), pa.array(out, pa.string()), *batch.columns[4:]], names=["doc_id", "text", *batch.schema.names[4:]])
 
-    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in more)
-    return with_repeats(docs, window, more=more).mapInArrow(work, "doc_id long, text string" + (", " + fields if fields else "")).select(*docs.columns)
+    fields = ", ".join(["doc_id long, text string", *[f"{inner[c]} {docs.schema[c].dataType.simpleString()}" for c in more]])
+    renamed = docs.select("doc_id", "text", *[F.col(f"`{c}`").alias(inner[c]) for c in more])
+    out = with_repeats(renamed, window, more=list(inner.values())).mapInArrow(work, fields)
+    return out.select(*[F.col(inner[c]).alias(c) if c in inner else F.col(c) for c in docs.columns])
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
