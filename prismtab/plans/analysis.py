@@ -283,3 +283,23 @@ def forecast_cv(spark, sf):
 def forecast_pivot(spark, sf):
     c = forecast.compared(_daily(spark, sf)).select("series", "method", F.posexplode("predictions").alias("step", "prediction"))
     return c.groupBy("series", "step").pivot("method", list(forecast.METHODS)).agg(F.first("prediction"))
+
+
+@C.add("forecast_multistep_linear", f"with {_SERIES}, f as (select series, any_value(n) as n, regr_slope(v, i) as b, regr_intercept(v, i) as a from s group by series) select series, h.h::int as step, round(a + b * (n + h.h), 2) as prediction from f, range(4) h(h)")
+def forecast_multistep_linear(spark, sf):
+    """A point on the fitted line leaves the line as it is, so steps one by one are the line."""
+    return _r(forecast.multistep(_daily(spark, sf), 4, "linear_trend"), "prediction", n=2)
+
+
+@C.add(
+    "forecast_best",
+    f"""with recursive {_SERIES}, {_SES_CTE}, p as (select series, v, i, avg(v) over (partition by series order by i rows between 3 preceding and 1 preceding) as p from s),
+    f as (select series, regr_slope(v, i) as b, regr_intercept(v, i) as a from s group by series),
+    m as (select series, 'moving_average' as method, avg(abs(v - p)) as mae from p where i >= 3 group by series
+    union all select series, 'exponential_smoothing', avg(abs(s.v - ses.p)) from ses join s using (series, i) where i > 0 group by series
+    union all select series, 'linear_trend', avg(abs(v - a - b * i)) from s join f using (series) group by series),
+    e as (select * from m union all select series, 'ensemble', avg(mae) from m group by series)
+    select series, method, round(mae, 3) as mae, mae = min(mae) over (partition by series) as best from e""",
+)
+def forecast_best(spark, sf):
+    return _r(forecast.compared(_daily(spark, sf)).select("series", "method", "mae", "best"), "mae", n=3)

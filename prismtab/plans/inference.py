@@ -137,9 +137,10 @@ def leverage_cooks(spark, sf):
     return out.select("row_id", F.round("leverage", 7).alias("leverage"), F.round("cooks_distance", 7).alias("cooks_distance"))
 
 
-@C.add("cooks_basic")
+@C.add("cooks_basic", f"with {_FIT}, m as (select sum(e ** 2) / (any_value(n) - 1) as mse, sum(x ** 2) as sxx from e) select id as row_id, round(x ** 2 / sxx, 7) as leverage, round(e ** 2 / mse * (x ** 2 / sxx) / (1 - x ** 2 / sxx) ** 2, 7) as cooks_distance from e, m")
 def cooks_basic(spark, sf):
-    return regression.influence(_li(spark, sf), ["l_quantity", "l_tax"], "l_extendedprice", "id", "basic")
+    out = regression.influence(_li(spark, sf), ["l_quantity"], "l_extendedprice", "id", "basic")
+    return out.select("row_id", F.round("leverage", 7).alias("leverage"), F.round("cooks_distance", 7).alias("cooks_distance"))
 
 
 @C.add("vif", "with r as (select corr(l_quantity, l_tax) as r from lineitem) select f as feature, round(1 / (1 - r ** 2), 4) as vif, false as high from r, (values ('l_quantity'), ('l_tax')) t(f)")
@@ -147,10 +148,10 @@ def vif(spark, sf):
     return regression.vif(_li(spark, sf), ["l_quantity", "l_tax"]).select("feature", "vif", "high")
 
 
-@C.add("vif_advanced")
+@C.add("vif_advanced", "with r as (select corr(l_quantity, l_tax) as r from lineitem) select 'l_quantity' as feature, round(1 / (1 - r ** 2), 5) as vif, false as high from r union all select 'l_tax', round(1 / (1 - r ** 2), 5), false from r union all select 'constant', 'Infinity'::double, true")
 def vif_advanced(spark, sf):
-    li = _li(spark, sf).withColumn("constant", F.lit(1.0)).withColumn("twice", F.col("l_quantity") * 2 + F.col("l_tax"))
-    return regression.vif(li, ["l_quantity", "l_tax", "twice", "constant"], "advanced")
+    li = _li(spark, sf).withColumn("constant", F.lit(1.0))
+    return regression.vif(li, ["l_quantity", "l_tax", "constant"], "advanced").select("feature", F.round("vif", 5).alias("vif"), "high")
 
 
 @C.add("breusch_pagan", f"with {_FIT}, r as (select regr_r2(e ** 2, x) as r2, count(*) as n from e) select round(r2 / ((1 - r2) / (n - 2)), 4) as f from r")
@@ -213,9 +214,9 @@ def cluster_eval(spark, sf):
     return e.withColumns({c: F.round(c, 5) for c in ("silhouette", "calinski_harabasz", "davies_bouldin")})
 
 
-@C.add("silhouette")
+@C.add("silhouette", f"select silhouette from ({_EVAL})")
 def silhouette(spark, sf):
-    return spark.createDataFrame([(cluster.silhouette(_emb(spark, sf), _F4),)], "silhouette double")
+    return spark.createDataFrame([(round(cluster.silhouette(_emb(spark, sf), _F4), 5),)], "silhouette double")
 
 
 @C.add("kmeans")

@@ -93,17 +93,17 @@ def profile_memory(spark, sf):
     return profile.memory_mb(read(spark, sf, "customer").select("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"))
 
 
-@C.add("profile_overview")
-def profile_overview(spark, sf):
-    return profile.overview(_events(spark, sf))
-
-
 _Q = f"""with {_EV}, q as (select 'event_id' as "column", 100e0 as completeness, round(count(distinct event_id) * 1e2 / count(event_id), 2) as uniqueness, 100e0 as validity from ev
 union all select 'user_id', 100, round(count(distinct user_id) * 1e2 / count(user_id), 2), 100 from ev
 union all select 'event_type', round(count(event_type) * 1e2 / count(*), 2), round(count(distinct event_type) * 1e2 / count(event_type), 2), 100 from ev
 union all select 'value', round(count(value) * 1e2 / count(*), 2), round(count(distinct value) * 1e2 / count(value), 2), 100 from ev) """
 
 
+@C.add("profile_overview", _Q + ", o as (select round(avg(completeness) * 0.5 + avg(validity) * 0.3 + avg(uniqueness) * 0.2, 2) as quality from q) select (select count(*) from ev) as row_count, 4::bigint as column_count, (select count(*) - count(distinct (event_id, user_id, event_type, value)) from ev) as duplicate_rows, (select round(sum(8 + 8 + coalesce(strlen(event_type), 0) + 8) / 1048576, 2) from ev) as memory_mb, quality from o")
+def profile_overview(spark, sf):
+    return profile.overview(_events(spark, sf))
+
+
 @C.add("quality_pct", _Q + "select * from q")
 def quality_pct(spark, sf):
     return profile.quality_columns(_events(spark, sf)).select("column", "completeness", "uniqueness", "validity")
@@ -212,7 +212,7 @@ def chart_heatmap(spark, sf):
     return report.heatmap(read(spark, sf, "lineitem").select(*_LI)).data.withColumn("r", F.round("r", 5))
 
 
-@C.add("chart_scatter")
+@C.add("chart_scatter", "select p_size, p_retailprice from part order by md5(p_partkey::varchar) limit 5000")
 def chart_scatter(spark, sf):
     return report.scatter(read(spark, sf, "part"), ["p_size", "p_retailprice"]).data
 
