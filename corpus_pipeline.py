@@ -18,17 +18,17 @@ from prismtab.llm.common import row_key, small_batches, table
 def toxic_documents_go(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that the classifier predicts to be toxic."""
     small_batches(spark)
-    model, _ = toxicity.fit(toxicity.training_rows(docs, table(spark, sf_dir, "labels")))
-    return toxicity.score(docs, model, keep=True).filter("predicted = 0").select(*docs.columns)
+    model = toxicity.fit(toxicity.training_rows(docs, table(spark, sf_dir, "labels")))
+    return toxicity.score(docs, model, True, ("__score", "__predicted")).filter("__predicted = 0").select(*docs.columns)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the least doc_id of each group linked by 0.8 of their five-word shingles. Of equal rows one stays."""
     small_batches(spark)
-    kept = minhash.clustered(docs, 5, 0.8).filter("doc_id is null or doc_id = component_id").select("rk")
-    rows = docs.withColumn("rk", row_key("doc_id", "text")).join(kept.distinct().hint("shuffle_hash"), "rk", "left_semi")
+    kept = minhash.clustered(docs, 5, 0.8).filter("doc_id is null or doc_id = component_id").select(F.col("rk").alias("__rk"))
+    rows = docs.withColumn("__rk", row_key("doc_id", "text")).join(kept.distinct().hint("shuffle_hash"), "__rk", "left_semi")
     if kept.count() != kept.distinct().count():
-        rows = rows.dropDuplicates(["rk"])
+        rows = rows.dropDuplicates(["__rk"])
     return rows.select(*docs.columns)
 
 

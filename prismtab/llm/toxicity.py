@@ -35,6 +35,8 @@ STEMS = (4, 5, 6, 7)
 #: Telling features that become voters at most, and in how many toxic rows one must be.
 MINED, LEAST = 160, 3
 THRESHOLD = 0.3
+#: Bytes of text whose features are held at a time.
+STEP = 1 << 20
 #: Accuracy that the label model grants the rows' annotator, and slots that the classifier looks at.
 ANNOTATOR, SCREENED = 0.995, 3000
 #: The seed lexicon: common insults.
@@ -206,31 +208,46 @@ def voters(row: np.ndarray, slot: np.ndarray, toxic: np.ndarray) -> tuple[np.nda
     return votes, mined
 
 
-def fit(sample: DataFrame) -> tuple[Classifier, LabelModel | None]:
-    """sample: text, toxic (0 or 1), SAMPLE rows at most; null toxic rows are left out. The rows' features come to the driver."""
+def fit_arrays(toxic: np.ndarray, each: list[np.ndarray]) -> tuple[Classifier, LabelModel | None]:
+    """The classifier, and the label model unless all rows have one label. each: the different slots of each row."""
+    fired, on_toxic = np.zeros(1 << SPACE_BITS, np.int32), np.zeros(1 << SPACE_BITS, np.int32)
+    for t, slots in zip(toxic, each, strict=True):
+        fired[slots] += 1
+        if t:
+            on_toxic[slots] += 1
+    # Slots that tell nothing are let go before any table of rows and slots is made.
+    share = float(toxic.mean()) if len(toxic) else 0.0
+    telling = (fired >= LEAST - 1) & (np.abs(on_toxic - share * fired) > np.sqrt(share * (1 - share) * fired + 1e-9))
+    kept = [x[telling[x]] for x in each]
+    slot = np.concatenate(kept).astype(np.int64) if kept else np.zeros(0, np.int64)
+    row = np.repeat(np.arange(len(kept)), [len(x) for x in kept]) if kept else np.zeros(0, np.int64)
+    if not 0 < toxic.sum() < len(toxic):
+        return linear(row, slot, toxic), None
+    votes, _ = voters(row, slot, toxic)
+    model = label_model(votes, float(toxic.mean()), toxic)
+    return linear(row, slot, model.posterior(votes, toxic)), model
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def fit(sample: DataFrame) -> Classifier:
+    """sample: text, toxic (0 or 1), SAMPLE rows at most; null toxic rows are left out. One task fits the bounded sample, and only the weights come to the driver."""
+
+    def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in steps(batch, "text"):
+            for part in steps(batch, "text", STEP):
                 row, hashes = features(part.column(1))
                 keys = np.unique(row << SPACE_BITS | _slots(hashes))
                 edges = np.searchsorted(keys >> SPACE_BITS, np.arange(len(part) + 1)).tolist()
                 slots = (keys & ((1 << SPACE_BITS) - 1)).astype(np.int32)
                 yield pa.record_batch([part.column(0), pa.array([slots[a:b].tobytes() for a, b in zip(edges, edges[1:], strict=False)], pa.binary())], ["toxic", "slots"])
 
-    rows = sample.filter("toxic is not null").select(F.col("toxic").cast("int").alias("toxic"), F.lower(F.coalesce("text", F.lit(""))).alias("text")).mapInArrow(work, "toxic int, slots binary").collect()
-    rows.sort(key=lambda r: (r["toxic"], bytes(r["slots"])))
-    toxic = np.array([r["toxic"] for r in rows], np.float64)
-    each = [np.frombuffer(bytes(r["slots"]), np.int32) for r in rows]
-    slot = np.concatenate(each).astype(np.int64) if each else np.zeros(0, np.int64)
-    row = np.repeat(np.arange(len(rows)), [len(x) for x in each]) if each else np.zeros(0, np.int64)
-    often = np.bincount(slot, minlength=1 << SPACE_BITS) >= 3
-    row, slot = row[often[slot]], slot[often[slot]]
-    if not 0 < toxic.sum() < len(toxic):
-        return linear(row, slot, toxic), None
-    votes, _ = voters(row, slot, toxic)
-    model = label_model(votes, float(toxic.mean()), toxic)
-    return linear(row, slot, model.posterior(votes, toxic)), model
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((t, s) for batch in batches for t, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+        model, _ = fit_arrays(np.array([t for t, _ in rows], np.float64), [np.frombuffer(s, np.int32) for _, s in rows])
+        yield pa.record_batch([pa.array([model.slots.tolist()], pa.list_(pa.int64())), pa.array([model.weights.tolist()], pa.list_(pa.float32())), pa.array([model.bias], pa.float64())], ["slots", "weights", "bias"])
+
+    texts = sample.filter("toxic is not null").select(F.col("toxic").cast("int").alias("toxic"), F.lower(F.coalesce("text", F.lit(""))).alias("text"))
+    r = texts.mapInArrow(featured, "toxic int, slots binary").repartition(1).mapInArrow(fitted, "slots array<long>, weights array<float>, bias double").first()
+    return Classifier(np.array(r["slots"], np.int64), np.array(r["weights"], np.float32), r["bias"])
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFrame:
@@ -245,30 +262,32 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Dat
     return once.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).select("text", "toxic")
 
 
-def score(docs: DataFrame, model: Classifier, keep: bool = False) -> DataFrame:
-    """doc_id, score (0 to 1, rounded to 9 places) and predicted of every row; with keep, all other columns too.
+def score(docs: DataFrame, model: Classifier, keep: bool = False, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """doc_id, score (0 to 1, rounded to 9 places) and predicted of every row; with keep, all columns of docs before them.
 
-    Null text counts as empty, whose score is the bias's. Equal texts have equal scores. doc_id is passed on as it
-    is; an empty table gives none. With keep, columns named score or predicted are replaced.
+    names are the two columns' names, for docs that have columns of these names. Null text counts as empty, whose score
+    is the bias's. Equal texts have equal scores. doc_id is passed on as it is; an empty table gives none.
     """
     weights, bias = model.table(), model.bias
+    carried = docs if keep else docs.select(F.col("doc_id").cast("long").alias("doc_id"))
+    n = len(carried.columns)
+    columns = [f"c{i}" for i in range(n + 1)]  # a column of any name may come along
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in steps(batch, "low_"):
-                row, hashes = features(part.column(part.num_columns - 1))
+            for part in steps(batch, columns[-1], STEP):
+                row, hashes = features(part.column(n))
                 slot = _slots(hashes)
                 used = weights[slot] != 0
                 keys = np.unique(row[used] << SPACE_BITS | slot[used])
                 total = np.bincount(keys >> SPACE_BITS, weights[keys & ((1 << SPACE_BITS) - 1)].astype(np.float64), len(part))
                 s = np.round(_sigmoid(bias + total), 9)
-                yield pa.record_batch([*part.columns[:-1], pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))], names=[*part.schema.names[:-1], "score", "predicted"])
+                yield pa.record_batch([*part.columns[:n], pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))], names=[*columns[:n], "s", "p"])
 
-    low = F.lower(F.coalesce("text", F.lit(""))).alias("low_")
-    columns = docs.drop("score", "predicted") if keep else docs.select(F.col("doc_id").cast("long").alias("doc_id"))
-    source = docs.drop("score", "predicted").select("*", low) if keep else docs.select(F.col("doc_id").cast("long").alias("doc_id"), low)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in columns.schema.fields)
-    return source.mapInArrow(work, f"{fields}, score double, predicted int")
+    low = F.lower(F.coalesce("text", F.lit("")))
+    source = docs.select(*[F.col(f"`{c}`") for c in docs.columns], low) if keep else docs.select(F.col("doc_id").cast("long"), low)
+    fields = ", ".join(f"{c} {f.dataType.simpleString()}" for c, f in zip(columns, carried.schema.fields, strict=False))
+    return source.toDF(*columns).mapInArrow(work, f"{fields}, s double, p int").toDF(*carried.columns, *names)
 
 
 def held_out(doc_id: int) -> bool:
@@ -278,7 +297,6 @@ def held_out(doc_id: int) -> bool:
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     docs = table(spark, sf_dir, "documents")
-    model, _ = fit(training_rows(docs, table(spark, sf_dir, "labels")))
-    scored = score(docs, model)
+    scored = score(docs, fit(training_rows(docs, table(spark, sf_dir, "labels"))))
     out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
     return scored.select("doc_id", out.alias("held_out"), "score", "predicted")
