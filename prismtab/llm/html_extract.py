@@ -34,6 +34,11 @@ MARKS = frozenset("ad ads adv advert adverts advertisement advertising banner bi
 #: Elements that marks don't leave out, as the article may be their inside.
 HOLDERS = frozenset("html body main article".split())
 
+#: Marks that leave out holders too, as readers' comments are often articles of their own.
+COMMENTS = frozenset("comment comments commentlist reply replies respond disqus".split())
+#: First and last words of a class that says what a page has or hasn't, as in no-sidebar and comments-open.
+STATES = (frozenset("no has with without not is hide hidden show".split()), frozenset("open closed enabled disabled visible active on off".split()))
+
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(" + "|".join(RAW) + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z|(?=<))|<[!?][^>]*(?:>|\Z)", re.S | re.I)
 _MARK = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
@@ -59,8 +64,15 @@ class _Item:
 
 
 @cache
-def _marked(attributes: str) -> bool:
-    return any(w.lower() in MARKS for m in _MARK.finditer(attributes) for w in _WORD.findall(m[1]))
+def _marked(attributes: str, holder: bool) -> bool:
+    """Do class, id or role say that the element is no article text?"""
+    for m in _MARK.finditer(attributes):
+        for name in m[1].strip("\"'").split():
+            words = [w.lower() for w in _WORD.findall(name)]
+            stated = len(words) > 1 and (words[0] in STATES[0] or words[-1] in STATES[1])
+            if not stated and any(w in (COMMENTS if holder else MARKS) for w in words):
+                return True
+    return False
 
 
 def tokens(page: str) -> list[_Item]:
@@ -93,7 +105,7 @@ def tokens(page: str) -> list[_Item]:
                     break
             items.append(_Item(name + "!" * marked, "", 0, out > 0, name in BLOCK))
             continue
-        marked = name not in HOLDERS and _marked(m[4] or "")
+        marked = _marked(m[4] or "", name in HOLDERS)
         gone = marked or name in CHROME and not (name == "header" and article)
         if name not in VOID and not (m[4] or "").endswith("/"):
             if name in ("p", "li", "option", "tr", "td", "th", "dt", "dd") and stack and stack[-1][0] == name:

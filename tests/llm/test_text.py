@@ -49,6 +49,12 @@ def test_article_only(holder):
     assert score > 0
 
 
+def test_marks():
+    body = "<p>" + "One sentence of the article after another. " * 5 + "</p>"
+    for page in (f"<div class='page no-sidebar comments-open'>{body}</div>", f"<main class='has-sidebar'>{body}</main>", f"<article class='post'>{body}</article><ol class='commentlist'><li><article class='comment-body'><p>A reader says so and so.</p></article></li></ol>"):
+        assert html_extract.extract(page)[0] == ("One sentence of the article after another. " * 5).strip()
+
+
 def test_page_edges(spark):
     pages = [(1, "u", None), (2, None, ""), (None, "v", "just words & more"), (4, "w", "<p>cut &am"), (5, "x", "<p>a</p>" * 3), (5, "x", "<p>a</p>" * 3), (6, "y", "<script>never closed <p>x</p>"), (7, "z", "< 3 is less <p title='a>b'>than four</p>")]
     df = spark.createDataFrame([(*p, "clash") for p in pages], "page_id long, url string, html string, text string")
