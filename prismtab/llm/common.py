@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Iterator
 
@@ -11,10 +12,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from prismtab.functions.store import find_package
+
 #: Words of the contracts: runs of bytes other than ASCII white space.
 SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 #: Bytes of text that one vectorised step works on; a single longer text is a step of its own.
-STEP_BYTES = 2 << 20
+STEP_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,6 +79,13 @@ def texts(col: pa.Array) -> list[str]:
 
 
 def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Arrow batches of so many rows at most, for operators whose rows may be long."""
+    """Arrow batches of so many rows at most, for operators whose rows may be long; workers find this package."""
+    find_package(spark)
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets go of finished rounds: what the driver no longer refers to is collected, and Spark removes its shuffles and checkpoints."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

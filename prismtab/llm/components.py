@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prismtab.llm.common import cut
+from prismtab.llm.common import cut, release
 
 
-def _state(edges: DataFrame) -> tuple:
-    r = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    return r[0], r[1]
+def _done(edges: DataFrame) -> bool:
+    """Is every edge one from a node with no other edge to a root?"""
+    if edges.groupBy("u").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count():
+        return False
+    return not edges.join(edges.select(F.col("u").alias("v")), "v", "left_semi").limit(1).count()
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -31,11 +33,7 @@ def components(edges: DataFrame) -> DataFrame:
     The edges stay distributed; each round is written to the shared folder. Loops and repeated edges do no harm.
     """
     now = cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct())
-    state = _state(now)
-    while state[0]:
+    while not _done(now):
         now = cut(_star(cut(_star(now, True)), False))
-        new = _state(now)
-        if new == state:
-            break
-        state = new
+        release(now.sparkSession)
     return now.select(F.col("u").alias("node"), F.col("v").alias("root"))

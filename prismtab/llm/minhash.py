@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prismtab.llm.common import cut, partitions, raw, row_key, small_batches, steps, table
+from prismtab.llm.common import cut, partitions, raw, release, row_key, small_batches, steps, table
 from prismtab.llm.components import components
 from prismtab.llm.words import LOWER, gram_hashes, mix, spans, word_hashes
 
@@ -200,6 +200,7 @@ def clustered(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFram
     same_id = seen.filter("cid is not null and doc_id is not null").join(classes.select("cid", "node"), "cid").filter("node <> doc_id")
     buckets = cut(banded.groupBy("key").agg(F.min("node").alias("center"), F.max("node").alias("last")).filter("center <> last").select("key", "center"))
     stars = banded.join(buckets, "key").filter("node <> center").select(F.col("center").alias("u"), F.col("node").alias("v")).distinct()
+    release(spark)
     found = components(stars)
     groups = cut(found.select("node", F.col("root").alias("gid")).union(found.select(F.col("root").alias("node"), F.col("root").alias("gid"))).distinct())
     # Class rows to fetch, with their sets: those in groups, once each.
@@ -208,6 +209,7 @@ def clustered(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFram
     sets = cut(_sets(text.join(wanted.hint("shuffle_hash"), "rk").dropDuplicates(["rk", "node"]), shingle))
     sizes = groups.groupBy("gid").agg(F.count("*").alias("size"))
     large = cut(sizes.filter(F.col("size") > BLOCK).select("gid", F.ceil(F.col("size") / BLOCK).alias("n_blocks")))
+    release(spark)
     side = lambda k: F.lit(k).alias("side")
     small = sets.join(large, "gid", "left_anti").select("gid", side(2), "node", "shingles")
     edges = _compared(small, ["gid"], least, _forest)
