@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from prismtab.llm.common import cut, steps, table, texts
+from prismtab.llm.common import cut, small_batches, steps, table, texts
 
 SIZE = 4096
 END_ID = 1
@@ -183,4 +183,5 @@ def pack(docs: DataFrame, path: str, size: int = SIZE, end_id: int = END_ID) ->
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
