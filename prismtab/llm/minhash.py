@@ -161,7 +161,7 @@ def _compared(rows: DataFrame, keys: list[str], least: float, found: Callable) -
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         u, v = [], []
-        for unit in _units(batches, len(keys)):
+        for unit in _units(batches, len(keys) + 1):
             sides = [[(n, np.frombuffer(s, np.uint64)) for side, n, s in unit if side in (k, 2)] for k in (0, 1)]
             if sides[0] and sides[1]:
                 names = [[x[0] for x in s] for s in sides]
@@ -173,7 +173,10 @@ def _compared(rows: DataFrame, keys: list[str], least: float, found: Callable) -
         yield pa.record_batch([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
     n = partitions(rows.sparkSession)
-    return rows.select(*keys, "side", "node", "shingles").repartition(n, *keys).sortWithinPartitions(*keys).mapInArrow(work, "u long, v long")
+    # Dealt by a column made here: were rows already dealt by the keys, as after a join, Spark would leave this exchange out and
+    # then be free to deal them anew at run time, as nothing it knows of needs a unit's rows together.
+    units = rows.select(F.xxhash64(*keys).alias("unit"), *keys, "side", "node", "shingles")
+    return units.repartition(n, "unit").sortWithinPartitions("unit", *keys).mapInArrow(work, "u long, v long")
 
 
 def _sets(docs: DataFrame, shingle: int) -> DataFrame:
