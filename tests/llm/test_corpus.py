@@ -270,6 +270,21 @@ def test_large_groups(spark, monkeypatch):
     assert got == roots and 1 < len(set(roots.values())) < 60
 
 
+def test_units_stay_whole_after_a_join_by_group(spark):
+    rng = np.random.default_rng(1)
+    rows = []
+    for g in range(60):
+        base = rng.integers(0, 1 << 62, 50, dtype=np.uint64)
+        for k in range(30):
+            s = base.copy()
+            s[0] = rng.integers(0, 1 << 62, dtype=np.uint64)
+            rows.append((g, 2, 100 * g + k, np.unique(s).tobytes()))
+    random.Random(1).shuffle(rows)
+    none = minhash.cut(spark.createDataFrame([(-1,)], "gid long"))
+    sets = minhash.cut(spark.createDataFrame(rows, "gid long, side int, node long, shingles binary").repartition(7))
+    assert minhash._compared(sets.join(none, "gid", "left_anti"), ["gid"], 0.8, minhash._forest).count() == 60 * 29
+
+
 def test_densified_bins_agree_as_sets_do():
     rng = np.random.default_rng(3)
     same = []
