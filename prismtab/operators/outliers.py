@@ -10,10 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prismtab.functions.columns import finite
+from prismtab.functions.nearest import k_nearest
+from prismtab.functions.store import cut
 from prismtab.operators.regression import centred_gram, quadratic
 
-#: Rows that the local outlier factor takes at most; it compares all pairs.
-PAIRS_LIMIT = 20_000
 TREES, SUBSAMPLE = 100, 256
 LOF_FACTOR = 1.5
 
@@ -103,16 +103,13 @@ def isolation_forest(df: DataFrame, row_id: str, columns: list[str], contaminati
 
 
 def local_outlier_factor(df: DataFrame, row_id: str, columns: list[str], n_neighbors: int = 20, factor: float = LOF_FACTOR) -> DataFrame:
-    """As isolation_forest; a row is anomalous whose neighbourhood is more than factor times as dense as its own. All pairs are compared,
-    so ValueError beyond PAIRS_LIMIT rows. Columns are standardised first."""
+    """As isolation_forest; a row is anomalous whose neighbourhood is more than factor times as dense as its own. Neighbours are exact
+    over tables of any size, ties by row_id. Columns are standardised first."""
     rows = _scaled(_rows(df, row_id, columns), columns)
-    n = rows.limit(PAIRS_LIMIT + 1).count()
-    if n > PAIRS_LIMIT:
-        raise ValueError(f"more than {PAIRS_LIMIT} rows")
-    k = min(n_neighbors, n - 1)
+    k = min(n_neighbors, rows.count() - 1)
     if k < 1:
         return _output(_rows(df, row_id, columns).withColumn("lof", F.lit(1.0)), columns, "local_outlier_factor", F.lit(0.0), F.lit(False), {"lof": F.col("lof")})
-    near = nearest(rows, columns, k)
+    near = cut(k_nearest(rows, columns, k))
     kdist = near.groupBy("x").agg(F.max("dist").alias("kd"))
     reach = near.join(kdist.select(F.col("x").alias("y"), "kd"), "y").groupBy("x").agg((F.lit(1.0) / (F.avg(F.greatest("dist", "kd")) + 1e-10)).alias("lrd"))
     lof = near.join(reach.select(F.col("x").alias("y"), F.col("lrd").alias("other")), "y").groupBy("x").agg(F.avg("other").alias("o")).join(reach, "x").select(F.col("x").alias("row_id"), (F.col("o") / F.col("lrd")).alias("lof"))
@@ -122,33 +119,6 @@ def local_outlier_factor(df: DataFrame, row_id: str, columns: list[str], n_neigh
     return _output(joined.join(F.broadcast(bounds)), columns, "local_outlier_factor", score, F.col("lof") > factor, {"lof": F.col("lof")})
 
 
-def nearest(rows: DataFrame, columns: list[str], k: int) -> DataFrame:
-    """x, y, dist: the k nearest other rows of each (row_id, columns), ties by row_id. A stated set of at most PAIRS_LIMIT rows against itself, in blocks."""
-    packed = rows.select("row_id", F.array(*columns).alias("v"))
-    points = packed.collect()  # at most PAIRS_LIMIT rows
-    ids = [p["row_id"] for p in points]
-    order = sorted(range(len(ids)), key=lambda i: ids[i])
-    ids = [ids[i] for i in order]
-    data = np.array([points[i]["v"] for i in order], float)
-    kind = rows.schema["row_id"].dataType.simpleString()
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place = {x: i for i, x in enumerate(ids)}
-        for batch in batches:
-            for at in range(0, len(batch), 256):
-                part = batch.slice(at, 256)
-                mine = np.array([place[x] for x in part.column(0).to_pylist()])
-                gap = data[mine][:, None, :] - data[None, :, :]
-                dist = np.sqrt((gap * gap).sum(2))
-                dist[np.arange(len(mine)), mine] = np.inf
-                best = np.argsort(dist, axis=1, kind="stable")[:, :k]
-                x = [ids[i] for i in np.repeat(mine, k).tolist()]
-                y = [ids[i] for i in best.ravel().tolist()]
-                yield pa.record_batch([pa.array(x, part.schema.field(0).type), pa.array(y, part.schema.field(0).type), pa.array(np.take_along_axis(dist, best, 1).ravel())], ["x", "y", "dist"])
-
-    return packed.select("row_id").mapInArrow(work, f"x {kind}, y {kind}, dist double")
-
-
 def mahalanobis(df: DataFrame, row_id: str, columns: list[str], threshold: float = 3.0) -> DataFrame:
     """As isolation_forest; a row is anomalous beyond threshold. Sample covariance; where it can't be inverted, only its diagonal counts, zeros as 1e-10. score is the distance over the greatest one."""
     rows = _rows(df, row_id, columns)

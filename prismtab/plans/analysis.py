@@ -62,10 +62,6 @@ def mahalanobis_2d(spark, sf):
     return outliers.mahalanobis(read(spark, sf, "part"), "p_partkey", ["p_size", "p_retailprice"], 2.0).select("row_id", "score", "anomaly")
 
 
-def _parts(spark, sf) -> DataFrame:
-    return read(spark, sf, "part").filter("p_partkey <= 400")
-
-
 @C.add(
     "lof",
     """with p as (select p_partkey as id, (p_size - (select avg(p_size) from part where p_partkey <= 400)) / (select stddev_pop(p_size) from part where p_partkey <= 400) as x, (p_retailprice - (select avg(p_retailprice) from part where p_partkey <= 400)) / (select stddev_pop(p_retailprice) from part where p_partkey <= 400) as y from part where p_partkey <= 400),
@@ -74,7 +70,7 @@ k as (select a, max(d) as kd from n group by a), r as (select n.a, 1 / (avg(grea
 select n.a as row_id, avg(o.lrd) / any_value(m.lrd) > 1.5 as anomaly from n join r o on o.a = n.b join r m on m.a = n.a group by n.a""",
 )
 def lof(spark, sf):
-    return outliers.local_outlier_factor(_parts(spark, sf), "p_partkey", ["p_size", "p_retailprice"]).select("row_id", "anomaly")
+    return outliers.local_outlier_factor(read(spark, sf, "part"), "p_partkey", ["p_size", "p_retailprice"]).select("row_id", "anomaly")
 
 
 @C.add("isolation_forest")
@@ -84,12 +80,12 @@ def isolation_forest(spark, sf):
 
 @C.add("anomaly_compare")
 def anomaly_compare(spark, sf):
-    return outliers.compare(_parts(spark, sf), "p_partkey", ["p_size", "p_retailprice"])
+    return outliers.compare(read(spark, sf, "part"), "p_partkey", ["p_size", "p_retailprice"])
 
 
 @C.add("ensemble_vote")
 def ensemble_vote(spark, sf):
-    return outliers.ensemble(_parts(spark, sf), "p_partkey", ["p_size", "p_retailprice"])
+    return outliers.ensemble(read(spark, sf, "part"), "p_partkey", ["p_size", "p_retailprice"])
 
 
 # Features.

@@ -268,3 +268,50 @@ def test_stream(spark, tmp_path):
     q.stop()
     assert spark.table("windows").agg(F.sum("n")).first()[0] == 50 and spark.table("windows").count() == 5
     assert monitors.flag_anomalies(df, "v", 1.0, 47.0).count() == 3
+
+
+def brute_nearest(data, k, largest=False):
+    gap = np.abs(data[:, None, :] - data[None, :, :])
+    dist = gap.max(2) if largest else np.sqrt((gap * gap).sum(2))
+    np.fill_diagonal(dist, np.inf)
+    return dist, np.argsort(dist, axis=1, kind="stable")[:, :k]
+
+
+def test_nearest_equal_brute_force_across_leaves(spark):
+    from prismtab.functions.nearest import k_nearest
+
+    rng = np.random.default_rng(11)
+    data = np.concatenate([rng.integers(0, 9, (300, 2)).astype(float), rng.standard_normal((150, 2)) * 40, np.ones((60, 2))])  # ties, far rows, copies
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(data)], "row_id int, a double, b double")
+    for largest in (False, True):
+        dist, best = brute_nearest(data, 6, largest)
+        got = {}
+        for r in k_nearest(df, ["a", "b"], 6, largest, leaf=16).collect():
+            got.setdefault(r["x"], []).append((r["dist"], r["y"]))
+        assert {i: sorted(v) for i, v in got.items()} == {i: [(dist[i, j], j) for j in best[i]] for i in range(len(data))}
+
+
+def part_table(spark, folder, n):
+    spark.range(1, n + 1).selectExpr("id as p_partkey", "cast(id * 7919 % 50 + 1 as int) as p_size", "900 + 1000 * pmod(sin(id) * 10000, 1D) as p_retailprice").write.parquet(f"{folder}/part.parquet")
+
+
+def test_row_anomaly_queries_take_all_parts(spark, tmp_path):
+    from prismtab.plans import analysis
+
+    part_table(spark, tmp_path, 1500)
+    ids = list(range(1, 1501))
+    for name, times in (("lof", 1), ("anomaly_compare", 3), ("ensemble_vote", 1)):
+        assert sorted(r["row_id"] for r in analysis.C.queries[name](spark, str(tmp_path)).collect()) == sorted(ids * times)
+    p = spark.read.parquet(f"{tmp_path}/part.parquet").orderBy("p_partkey").select("p_size", "p_retailprice").collect()
+    data = np.array([list(r) for r in p], float)
+    dist, best = brute_nearest((data - data.mean(0)) / data.std(0), 20)
+    near = np.take_along_axis(dist, best, 1)
+    lrd = 1 / (np.maximum(near, near[:, -1][best]).mean(1) + 1e-10)
+    got = {r["row_id"]: r["context"]["lof"] for r in analysis.C.queries["anomaly_compare"](spark, str(tmp_path)).filter("method = 'local_outlier_factor'").collect()}
+    assert [got[i] for i in ids] == pytest.approx(list(lrd[best].mean(1) / lrd), abs=2e-6)
+
+
+def test_local_outlier_factor_beyond_20000_rows(spark):
+    df = spark.range(20_100).selectExpr("id", "cast(id % 150 as double) as a", "cast(id div 150 as double) as b")
+    got = outliers.local_outlier_factor(df, "id", ["a", "b"]).agg(F.count("*"), F.count_distinct("row_id")).first()
+    assert tuple(got) == (20_100, 20_100)
