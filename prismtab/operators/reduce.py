@@ -1,4 +1,4 @@
-"""Fewer dimensions: principal components from a p x p matrix, and t-SNE of a bounded sample."""
+"""Fewer dimensions: principal components from a p x p matrix, and t-SNE, fitted on a bounded sample."""
 
 from __future__ import annotations
 
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from prismtab.functions.columns import finite
 from prismtab.operators.regression import centred_gram
 
-#: Rows that t-SNE takes at most, as it compares all pairs.
+#: Rows that t-SNE embeds together at most, as it compares all pairs; the rows of a larger table are placed among them.
 TSNE_ROWS = 3000
 
 
@@ -83,22 +83,68 @@ def scree(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def tsne(df: DataFrame, row_id: str, columns: list[str], n: int = 2, perplexity: float = 30.0, seed: int = 42) -> DataFrame:
-    """row_id, d1 ... dn: exact t-SNE of standardised rows; of more than TSNE_ROWS rows, those with the least hash. Perplexity is at most the rows less one."""
+    """row_id, d1 ... dn of each row: exact t-SNE of standardised rows. Perplexity is at most the rows less one.
+
+    Of more than TSNE_ROWS rows, those with the least hash are embedded together, and each other row is put at the mean of their
+    points, weighted by its affinities to them at the same perplexity.
+    """
     from prismtab.operators.outliers import _rows, _scaled
 
-    x = _scaled(_rows(df, row_id, columns), columns).orderBy(F.xxhash64("row_id"), "row_id").limit(TSNE_ROWS)
+    x = _scaled(_rows(df, row_id, columns), columns)
     kind = df.schema[row_id].dataType.simpleString()
+    schema = ", ".join([f"row_id {kind}", *[f"d{i + 1} double" for i in range(n)]])
+    names = ["row_id", *[f"d{i + 1}" for i in range(n)]]
+    larger = x.limit(TSNE_ROWS + 1).count() > TSNE_ROWS
+
+    def matrix(t: pa.Table | pa.RecordBatch) -> np.ndarray:
+        return np.column_stack([t.column(c).to_numpy() for c in columns])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = list(batches)
         if not parts or not sum(p.num_rows for p in parts):
             return
         t = pa.Table.from_batches(parts).sort_by("row_id")
-        y = embed(np.column_stack([t.column(c).to_numpy() for c in columns]), n, perplexity, seed)
-        yield pa.record_batch([t.column("row_id").combine_chunks(), *[pa.array(y[:, i]) for i in range(n)]], ["row_id", *[f"d{i + 1}" for i in range(n)]])
+        y = embed(matrix(t), n, perplexity, seed)
+        more = [t.column(c).combine_chunks() for c in columns] if larger else []
+        yield pa.record_batch([t.column("row_id").combine_chunks(), *[pa.array(y[:, i]) for i in range(n)], *more], [*names, *(f"x{i}" for i in range(len(more)))])
 
     # At most TSNE_ROWS rows go to the one task.
-    return x.repartition(1).mapInArrow(work, ", ".join([f"row_id {kind}", *[f"d{i + 1} double" for i in range(n)]]))
+    if not larger:
+        return x.repartition(1).mapInArrow(work, schema)
+    picked = x.orderBy(F.xxhash64("row_id"), "row_id", *columns).limit(TSNE_ROWS).repartition(1)
+    width = len(columns)
+    fitted = picked.mapInArrow(work, ", ".join([schema, *[f"x{i} double" for i in range(width)]])).collect()  # the bounded sample
+    points = np.array([list(r)[1 : 1 + n] for r in fitted], float)
+    among = np.array([list(r)[1 + n :] for r in fitted], float)
+    known = {(r[0], *r[1 + n :]): i for i, r in enumerate(fitted)}
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), 512):
+                part = batch.slice(at, 512)
+                mine = matrix(part)
+                y = affinities(((mine[:, None, :] - among[None, :, :]) ** 2).sum(2), perplexity) @ points
+                for i, key in enumerate(zip(part.column("row_id").to_pylist(), *mine.T.tolist(), strict=True)):
+                    if key in known:
+                        y[i] = points[known[key]]
+                yield pa.record_batch([part.column("row_id"), *[pa.array(y[:, i]) for i in range(n)]], names)
+
+    return x.mapInArrow(place, schema)
+
+
+def affinities(d: np.ndarray, perplexity: float) -> np.ndarray:
+    """Rows' shares of their neighbours, by squared distances d: Gaussian, as wide as their entropy fits the perplexity; infinite ones get none."""
+    shifted = np.maximum(d - d.min(1)[:, None], 0)
+    finite_ = np.where(np.isfinite(shifted), shifted, 0)
+    beta, lo, hi = np.ones(len(d)), np.zeros(len(d)), np.full(len(d), np.inf)
+    for _ in range(60):  # the width around each row at which its neighbours' entropy fits the perplexity
+        p = np.exp(-shifted * beta[:, None])
+        total = np.maximum(p.sum(1), 1e-300)
+        entropy = np.log(total) + beta * (finite_ * p).sum(1) / total
+        wide = entropy > np.log(perplexity)
+        lo, hi = np.where(wide, beta, lo), np.where(wide, hi, beta)
+        beta = np.where(np.isinf(hi), beta * 2, (lo + hi) / 2)
+    return p / total[:, None]
 
 
 def embed(x: np.ndarray, n: int, perplexity: float, seed: int, rounds: int = 500) -> np.ndarray:

@@ -315,3 +315,17 @@ def test_local_outlier_factor_beyond_20000_rows(spark):
     df = spark.range(20_100).selectExpr("id", "cast(id % 150 as double) as a", "cast(id div 150 as double) as b")
     got = outliers.local_outlier_factor(df, "id", ["a", "b"]).agg(F.count("*"), F.count_distinct("row_id")).first()
     assert tuple(got) == (20_100, 20_100)
+
+
+def test_tsne_places_every_row_of_a_larger_table(spark, monkeypatch):
+    monkeypatch.setattr(reduce, "TSNE_ROWS", 120)
+    rng = np.random.default_rng(12)
+    data = np.concatenate([rng.standard_normal((150, 3)) + c for c in (0, 30, -30)])
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(data)], "i int, a double, b double, c double")
+    got = {r["row_id"]: (r["d1"], r["d2"]) for r in reduce.tsne(df, "i", ["a", "b", "c"], perplexity=10.0).collect()}
+    assert sorted(got) == list(range(450))
+    y = np.array([got[i] for i in range(450)])
+    gap = ((y[:, None] - y[None]) ** 2).sum(2)
+    np.fill_diagonal(gap, np.inf)
+    assert (gap.argmin(1) // 150 == np.arange(450) // 150).all()
+    assert reduce.compare(df, "i", ["a", "b", "c"]).groupBy("method").count().filter("count = 450").count() == 2
