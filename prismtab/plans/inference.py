@@ -368,7 +368,7 @@ def auto_tune(spark, sf):
 @C.add("tree_shap")
 def tree_shap(spark, sf):
     got = models.train(read(spark, sf, "supplier").select("s_nationkey", F.col("s_suppkey").cast("double").alias("k"), "s_acctbal"), "s_acctbal")
-    return models.tree_shap(got["model"], got["predictions"].limit(20), got["features"])
+    return models.tree_shap(got["model"], got["predictions"], got["features"])
 
 
 # Sources and streams.

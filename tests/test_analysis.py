@@ -329,3 +329,12 @@ def test_tsne_places_every_row_of_a_larger_table(spark, monkeypatch):
     np.fill_diagonal(gap, np.inf)
     assert (gap.argmin(1) // 150 == np.arange(450) // 150).all()
     assert reduce.compare(df, "i", ["a", "b", "c"]).groupBy("method").count().filter("count = 450").count() == 2
+
+
+def test_tree_shap_explains_all_held_out_rows(spark, tmp_path):
+    from prismtab.plans import inference
+
+    spark.range(400).selectExpr("cast(id as int) as s_suppkey", "cast(id * 7 % 25 as int) as s_nationkey", "1000 * pmod(sin(id) * 10000, 1D) as s_acctbal").write.parquet(f"{tmp_path}/supplier.parquet")
+    s = spark.read.parquet(f"{tmp_path}/supplier.parquet").select("s_nationkey", F.col("s_suppkey").cast("double").alias("k"), "s_acctbal")
+    held = models.train(s, "s_acctbal")["predictions"].count()
+    assert held > 40 and inference.C.queries["tree_shap"](spark, str(tmp_path)).count() == held
