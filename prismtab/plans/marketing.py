@@ -124,9 +124,7 @@ def kpi_trend(spark, sf):
     from pyspark.sql import Window
 
     m = read(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("priority"), F.date_trunc("month", "o_orderdate").alias("mon")).agg(F.sum("o_totalprice").alias("v"))
-    first = m.agg(F.min("mon").alias("lo"))
-    early = m.join(F.broadcast(first)).filter(F.col("mon") < F.add_months("lo", 8))
-    placed = early.withColumn("i", F.row_number().over(Window.partitionBy("priority").orderBy("mon")) - 1)
+    placed = m.withColumn("i", F.row_number().over(Window.partitionBy("priority").orderBy("mon")) - 1)
     return kpi.trend(placed, ["priority"], "i", "v").withColumn("relative_slope", F.round("relative_slope", 5))
 
 

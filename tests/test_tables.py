@@ -157,3 +157,18 @@ def test_files(spark, tmp_path):
 def test_synthetic_tables_are_the_same_each_time(spark):
     a, b = synthetic.ecommerce(spark, 50), synthetic.ecommerce(spark, 50)
     assert a.exceptAll(b).count() == 0 and 5 <= a.filter("customer_rating is null").count() <= 25
+
+
+def test_kpi_trend_looks_at_all_months(spark, tmp_path):
+    from prismtab.plans import marketing
+
+    # Eight months rise, the twelve after them fall.
+    months = [*range(8), *range(8, -4, -1)]
+    rows = [("1-URGENT", f"{1995 + i // 12}-{1 + i % 12:02d}-15", 100.0 + v) for i, v in enumerate(months)]
+    spark.createDataFrame(rows, "o_orderpriority string, d string, o_totalprice double").selectExpr("o_orderpriority", "cast(d as timestamp) as o_orderdate", "o_totalprice").write.parquet(f"{tmp_path}/orders.parquet")
+    xs, n = [100.0 + v for v in months], len(months)
+    slope = sum((i - (n - 1) / 2) * x for i, x in enumerate(xs)) / sum((i - (n - 1) / 2) ** 2 for i in range(n))
+    got = marketing.C.queries["kpi_trend"](spark, str(tmp_path)).first()
+    assert got["relative_slope"] == pytest.approx(slope / (max(xs) - min(xs)), abs=1e-5) and got["relative_slope"] < 0
+    short = kpi.trend(spark.createDataFrame([("a", i, float(i)) for i in range(8)], "p string, i int, v double"), ["p"], "i", "v").first()
+    assert short["trend"] == "improving"
