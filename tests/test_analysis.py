@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from prismtab.functions import distributions as d
+from prismtab.functions import mutual_info
 from prismtab.functions.neighbours import with_previous
 from prismtab.functions.ranks import average_ranks
 from prismtab.operators import anomaly, cluster, features, forecast, models, outliers, reduce, regression, stats
@@ -338,3 +339,30 @@ def test_tree_shap_explains_all_held_out_rows(spark, tmp_path):
     s = spark.read.parquet(f"{tmp_path}/supplier.parquet").select("s_nationkey", F.col("s_suppkey").cast("double").alias("k"), "s_acctbal")
     held = models.train(s, "s_acctbal")["predictions"].count()
     assert held > 40 and inference.C.queries["tree_shap"](spark, str(tmp_path)).count() == held
+
+
+def brute_information(x, y, classes, k=3):
+    n = len(x)
+    x = x / x.std()
+    dx = np.abs(x[:, None] - x)
+    np.fill_diagonal(dx, np.inf)
+    psi = lambda v: float(mutual_info.digamma(np.atleast_1d(np.asarray(v, float))).mean())
+    if classes:
+        size = np.array([(y == v).sum() for v in y])
+        r = np.array([np.nextafter(np.sort(dx[i][y == y[i]])[min(k, size[i] - 1) - 1], 0) for i in range(n)])
+        return psi([n]) + psi(np.minimum(k, size - 1)) - psi(size) - psi((dx <= r[:, None]).sum(1) + 1)
+    z = y / y.std()
+    dz = np.abs(z[:, None] - z)
+    r = np.nextafter(np.partition(np.maximum(dx, dz), k - 1, axis=1)[:, k - 1], 0)[:, None]
+    return psi([n]) + psi([k]) - psi((dx <= r).sum(1) + 1) - psi((dz - np.diag(np.diag(dz)) <= r).sum(1))
+
+
+@pytest.mark.parametrize("classes", [False, True])
+def test_mutual_information_of_all_rows(spark, classes):
+    rng = np.random.default_rng(13)
+    n = 3600
+    a, b = rng.standard_normal(n), rng.standard_normal(n)
+    y = np.clip(np.round(a + 0.5 * rng.standard_normal(n)), -2, 2) if classes else a + 0.5 * rng.standard_normal(n)
+    df = spark.createDataFrame([tuple(map(float, r)) for r in zip(a, b, y, strict=True)], "a double, b double, y double")
+    got = {r["feature"]: r["score"] for r in mutual_info.mutual_information(df, ["a", "b"], "y").collect()}
+    assert [got["a"], got["b"]] == pytest.approx([max(0.0, brute_information(x, y, classes)) for x in (a, b)], abs=2e-5)
