@@ -91,6 +91,15 @@ def test_collision_rate_is_generalised_jaccard(spark):
     assert np.mean(np.array(rows[1]) == np.array(rows[2])) == pytest.approx(want, abs=0.03)
 
 
+def test_collision_rate_at_the_production_width(spark):
+    pairs = [[" ".join(f"w{i}x{j}" for j in range(a, a + 90)) for a in (0, 30)] for i in range(300)]  # 60 of 120 words in both
+    made = spark.createDataFrame([(i, s, t) for i, p in enumerate(pairs) for s, t in enumerate(p)], "i int, s int, text string")
+    got = {(r["i"], r["s"]): r["fingerprint"] for r in fingerprints.samples(made, ["i", "s"]).collect()}
+    assert {len(f) for f in got.values()} == {fingerprints.SAMPLES} == {32}
+    off = [sum(x == y for x, y in zip(got[i, 0], got[i, 1], strict=True)) / 32 - 0.5 for i in range(300)]
+    assert abs(sum(off) / 300) < 0.025 and 0.075 < (sum(e * e for e in off) / 300) ** 0.5 < 0.1
+
+
 # Toxicity.
 
 def labelled(n: int = 400) -> tuple[list[tuple], list[tuple]]:
