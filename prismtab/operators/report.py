@@ -12,8 +12,6 @@ from prismtab.functions.columns import as_timestamp, normalise
 from prismtab.operators.profile import correlations, duplicate_rows, memory_mb, profile
 
 CATEGORIES, TOP, PIE, BINS, SCATTER = ("categorical", "categorical_numeric", "boolean"), 15, 8, 50, 5
-#: Rows of a scatter chart at most.
-POINTS = 5000
 
 
 def chart_type(kind: Column, unique: Column) -> Column:
@@ -74,11 +72,10 @@ def heatmap(df: DataFrame) -> Chart | None:
 
 
 def scatter(df: DataFrame, columns: list[str], most: int = SCATTER) -> Chart | None:
-    """The first columns' values of at most POINTS rows, those with the least hash; None for fewer than two columns."""
+    """The first columns' values of all rows; None for fewer than two columns."""
     if len(columns) < 2:
         return None
-    data = df.select(*columns[:most])
-    return Chart("Scatter Matrix", "scatter_matrix", data.orderBy(F.xxhash64(*data.columns)).limit(POINTS))
+    return Chart("Scatter Matrix", "scatter_matrix", df.select(*columns[:most]))
 
 
 def dashboard(df: DataFrame, profiled: DataFrame | None = None) -> list[Chart]:

@@ -366,3 +366,31 @@ def test_mutual_information_of_all_rows(spark, classes):
     df = spark.createDataFrame([tuple(map(float, r)) for r in zip(a, b, y, strict=True)], "a double, b double, y double")
     got = {r["feature"]: r["score"] for r in mutual_info.mutual_information(df, ["a", "b"], "y").collect()}
     assert [got["a"], got["b"]] == pytest.approx([max(0.0, brute_information(x, y, classes)) for x in (a, b)], abs=2e-5)
+
+
+def test_silhouette_of_all_rows_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(cluster, "SILHOUETTE", 100)
+    rng = np.random.default_rng(14)
+    x, label = rng.standard_normal((430, 2)), np.arange(430) % 3
+    x[:, 0] += label
+    df = spark.createDataFrame([(i, *map(float, r), int(k)) for i, (r, k) in enumerate(zip(x, label, strict=True))], "row_id int, a double, b double, label int")
+    dist = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    s = []
+    for i in range(430):
+        inner = dist[i, label == label[i]].sum() / ((label == label[i]).sum() - 1)
+        outer = min(dist[i, label == k].mean() for k in range(3) if k != label[i])
+        s.append((outer - inner) / max(inner, outer))
+    assert cluster.silhouette(df, ["a", "b"]) == pytest.approx(float(np.mean(s)), abs=1e-9)
+
+
+def test_scatter_has_all_rows(spark):
+    from prismtab.operators import report
+
+    assert report.scatter(spark.range(5200).selectExpr("id as a", "id as b"), ["a", "b"]).data.count() == 5200
+
+
+def test_normality_of_all_values(spark):
+    x = np.round(np.random.default_rng(15).gamma(20, 1, 5600), 2)  # with ties
+    got = stats.normality(spark.createDataFrame([(float(v),) for v in x], "v double"), "v")
+    w, p = stats.shapiro_wilk(x)
+    assert got.statistic == pytest.approx(w, abs=1e-6) and got.p_value == pytest.approx(p, rel=1e-2, abs=1e-9)
