@@ -152,16 +152,26 @@ def test_label_model_finds_accuracies():
 
 # Repeats.
 
-def removed(corpus):
-    order = sorted({(r[0], r[1]) for r in corpus}, key=lambda r: (r[0] is None, r[0] or 0))
-    return order
+def thue_morse(n: int) -> tuple[str, str]:
+    """Two different words of n letters that sums over letters and powers mod 2**64 can't tell apart."""
+    x = "a"
+    while len(x) < n:
+        x += x.translate(str.maketrans("ab", "ba"))
+    return x, x.translate(str.maketrans("ab", "ba"))
 
 
-def test_repeats(docs, empty, corpus):
-    ids = Counter(r[0] for r in {(r[0], r[1]) for r in corpus})
-    plain = [r for r in corpus if ids[r[0]] == 1]  # with two texts under one id the order is the row key's
+@pytest.mark.parametrize("n", [8, 64, 1024, 2048, 4096])
+def test_no_word_hash_is_a_sum(n):
+    body = " ".join(thue_morse(n)).encode()
+    h = W.word_hashes(np.frombuffer(body, np.uint8), np.array([0, n + 1]), np.array([n, 2 * n + 1]))
+    assert h[0] != h[1]
+    grams = W.gram_hashes(np.array([1, 2] * 30, np.uint64), 20)
+    assert len(set(grams.tolist())) == 2
+
+
+def brute_force_removed(rows):
     seen, want = set(), {}
-    for i, t in sorted({(r[0], r[1]) for r in plain}, key=lambda r: (r[0] is None, r[0] or 0)):
+    for i, t in sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0)):
         ws = [w.encode() for w in WORD.findall(t or "")]
         stay = [True] * len(ws)
         for k in range(len(ws) - 19):
@@ -171,10 +181,57 @@ def test_repeats(docs, empty, corpus):
             seen.add(g)
         left = [w for w, s in zip(ws, stay, strict=True) if s]
         want[i] = (i, len(ws), len(ws) - len(left), hashlib.sha256(b" ".join(left)).hexdigest())
-    got = substring.removed(docs.filter(F.col("doc_id").isin([i for i in want if i is not None]) | (F.lit(None in want) & F.col("doc_id").isNull())))
+    return want
+
+
+@pytest.mark.parametrize("budget", [substring.BUDGET, 64])
+def test_repeats(spark, docs, empty, corpus, budget):
+    ids = Counter(r[0] for r in {(r[0], r[1]) for r in corpus})
+    plain = [(r[0], r[1]) for r in corpus if ids[r[0]] == 1]  # with two texts under one id the order is the row key's
+    a, b = thue_morse(1024)
+    plain += [(9000, " ".join([a] * 20)), (9001, " ".join([b] * 20)), (9002, " ".join([a] * 12 + [b] * 8)), (9003, " ".join([a] * 12 + [b] * 8))]
+    want = brute_force_removed(plain)
+    got = substring.removed(spark.createDataFrame(plain, "doc_id long, text string").repartition(5), budget=budget)
     assert key(got.collect()) == key(want[r[0]] for r in plain)
-    assert sum(w[2] for w in want.values()) > 1000
-    assert substring.removed(docs).count() == len(corpus) and substring.removed(empty).count() == 0
+    assert sum(w[2] for w in want.values()) > 1000 and [want[i][2] for i in (9000, 9001, 9002, 9003)] == [0, 0, 0, 20]
+    assert substring.removed(docs, budget=budget).count() == len(corpus) and substring.removed(empty, budget=budget).count() == 0
+
+
+def test_groups_keep_to_their_budget(spark, monkeypatch):
+    """Groups follow from the counts: none is much larger than the budget, though one prefix has a third of all windows."""
+    rng = random.Random(8)
+    hot = " ".join(f"h{i}" for i in range(8))
+    texts = [" ".join(f"{rng.randrange(300)}" for _ in range(30)) + (f" {hot} " if i % 2 else " ") + " ".join(f"{rng.randrange(300)}" for _ in range(30)) for i in range(300)]
+    texts += texts[:150]
+    df = substring._keyed(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), [])
+    budget = 512
+    said = [substring.unpack([r["blob"]], ("u8",))[0] for r in substring.repeated_prefixes(df, 20, 8, budget).filter("kind = 2").collect()]
+    total, long = sum(int(x[0]) for x in said), sum(len(x) - 1 for x in said)
+    assert total > 8 * budget and 0 < long <= substring.LONGER * total / budget
+    sizes = []
+    real = substring.earliest
+    monkeypatch.setattr(substring, "earliest", lambda s, w: sizes.append(len(s)) or real(s, w))
+    groups = -(-2 * total // budget)
+    dealt = []
+    real_dealt = substring._dealt
+    monkeypatch.setattr(substring, "_dealt", lambda sent, n: dealt.append((sent, n)) or real_dealt(sent, n))
+    substring.repeated_windows(df, 20, 8, budget).count()
+    sent, n = dealt[2]
+    assert n == groups
+    per_group = Counter()
+    for r in sent.filter("kind = 0").collect():
+        per_group[r["part"]] += len(substring.Suffixes.read([r["blob"]]))
+    assert len(per_group) > groups / 3 and max(per_group.values()) <= budget
+
+
+def test_names_are_equal_where_symbols_are():
+    rng = np.random.default_rng(1)
+    x = rng.integers(0, 3, 400, dtype=np.uint64)
+    for n in (1, 2, 3, 5, 8, 20, 21):
+        got = substring.names(x, n)
+        want = [tuple(x[i : i + n].tolist()) for i in range(400 - n + 1)]
+        assert len(set(zip(got.tolist(), want, strict=True))) == len(set(want)) == len(set(got.tolist()))
+    assert len(substring.names(x[:3], 4)) == 0
 
 
 def test_repeats_keep_columns(docs, corpus):
