@@ -64,6 +64,19 @@ def steps(batch: pa.RecordBatch, text: str, most: int = STEP_BYTES) -> Iterator[
         at = to
 
 
+def together(batches: Iterator[pa.RecordBatch], text: str, least: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at least so many bytes of text, but for the last."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.column(batch.schema.get_field_index(text)).nbytes
+        if size >= least:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def raw(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column and the n + 1 offsets of its rows; null counts as empty."""
     col = pc.fill_null(col, "")
