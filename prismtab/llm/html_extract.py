@@ -1,25 +1,29 @@
 """Main text of web pages by a maximum-scoring subsequence.
 
-A page is a sequence of words, which score positive, and tags, which score
-negative; the weights are smoothed log odds counted on labelled pages. One
-linear scan finds the contiguous run with the greatest sum, the content region.
-Elements inside the region that are no article text (menus, notices, forms,
-reader comments ...) are left out, and its blocks are joined.
+A page is a sequence of words, which score positive, and tags, which score negative, as do words of links
+where a page has them outside its article; the weights are smoothed log odds counted on labelled
+pages of many layouts. One linear scan finds the contiguous run with the greatest sum, the content region.
+Elements inside the region that are no article text (menus, notices, forms, reader comments ...) are
+left out, and its blocks are joined.
 """
 
 from __future__ import annotations
 
+import bisect
 import html
 import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, lru_cache
+from itertools import accumulate
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from prismtab.llm.common import small_batches, steps, table, texts
+from prismtab.llm.html_layouts import labelled_pages
 
 #: Elements whose inside is no text at all.
 RAW = ("script", "style", "noscript", "template", "svg", "math", "iframe", "object", "canvas", "textarea", "select", "title", "audio", "video")
@@ -29,6 +33,8 @@ CHROME = frozenset("nav footer aside form button dialog menu head header fieldse
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that break a line of text.
 BLOCK = frozenset("address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
+#: Raw elements that break a line of text.
+BREAKING = frozenset(("title", "iframe", "select", "textarea"))
 #: Words of class, id and role that mark no article text.
 MARKS = frozenset("ad ads adv advert adverts advertisement advertising banner billboard breadcrumb breadcrumbs byline comment comments commentlist consent contentinfo cookie cookies copyright disqus donate follow footer form gdpr header login masthead menu modal nav navbar navigation navigator newsletter notice notices pager pagination paywall popup promo promotion recommended related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags teaser toolbar topbar warning widget".split())
 #: Elements that marks don't leave out, as the article may be their inside.
@@ -39,113 +45,149 @@ COMMENTS = frozenset("comment comments commentlist reply replies respond disqus"
 #: First and last words of a class that says what a page has or hasn't, as in no-sidebar and comments-open.
 STATES = (frozenset("no has with without not is hide hidden show".split()), frozenset("open closed enabled disabled visible active on off".split()))
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(" + "|".join(RAW) + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z|(?=<))|<[!?][^>]*(?:>|\Z)", re.S | re.I)
+#: Possessive, and no tag reaches over the next "<" outside quotes: a page's tags are found in one pass.
+_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^<>\"']|\"[^\"]*+\"|'[^']*+')*+)(?:>|\Z|(?=<))")
+_END = {name: re.compile(rf"</{name}\s*+>", re.I) for name in RAW}
 _MARK = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 _SPACE = re.compile(r"\s+")
 
-#: Labelled pages: (is it article text, mark-up) in page order. T stands for a sentence, W for a word, both filled in below.
-_PAGES = (
-    ((0, "<html><head><title>W W</title><meta></head><body><header><div class='masthead'>W</div><nav><ul><li><a>W</a></li><li><a>W</a></li><li><a>W</a></li></ul></nav></header><div class='ad'>T</div>"), (1, "<article><h1>W W W</h1><p>T T T</p><p>T T</p><p>T<b>W</b> T</p><h2>W W</h2><p>T T T T</p>"), (0, "</article><footer><p>W W</p><a>W</a></footer></body></html>")),
-    ((0, "<html><body><div id='menu'><a>W</a><a>W</a><a>W</a><a>W</a></div><div class='cookie'><p>T</p><button>W</button></div>"), (1, "<div><h1>W W</h1><p>T T</p><blockquote><p>T</p></blockquote><p>T T<br>T</p><ul><li>T</li><li>T</li></ul><p>T <a>W W</a> T</p></div>"), (0, "<div class='share'><a>W</a><a>W</a></div><div id='comments'><h3>W</h3><div><span>W W</span><p>T</p></div><div><span>W W</span><p>T</p></div><form><input><input></form></div></body></html>")),
-    ((0, "<html><body><table><tr><td><a>W</a></td><td><a>W</a></td></tr></table><div class='breadcrumbs'><span>W</span><span>W</span></div>"), (1, "<div><p>T T T</p><p>T T T</p><p><i>W W</i> T T</p><p>T T</p></div>"), (0, "<div class='sidebar'><h4>W</h4><ul><li><a>W W</a></li><li><a>W W W</a></li></ul></div><div><span>W</span><span>W</span></div></body></html>")),
-    ((0, "<html><body><nav><a>W</a><a>W</a></nav><section><form><input><label>W</label><button>W</button></form></section><div class='notice'>T</div>"), (1, "<main><h1>W W W W</h1><p>T</p><p>T T</p><h2>W</h2><p>T T T</p><pre>T T</pre><p>T T</p></main>"), (0, "<aside><h3>W W</h3><p>T</p></aside><footer><ul><li><a>W</a></li></ul><span>W W W</span></footer></body></html>")),
-    ((0, "<html><body><div><span>W</span><a>W</a><img></div><div class='banner'><p>T</p></div>"), (1, "<section><h2>W W</h2><p>T T T T</p><p>T T</p></section><section><p>T T T</p><ol><li>T T</li><li>T</li></ol></section>"), (0, "<div class='related'><div><a>W W W</a><img></div><div><a>W W</a><img></div></div><footer>W W</footer></body></html>")),
-)
+#: Labelled pages that the weights are learned from.
+PAGES, SEED = 400, 7
+#: The least that a word and a tag of what is left out takes away, and half the most.
+LIGHT = {"!": 0.1, "<!": 0.1}
+#: Texts of class, id and role that a worker remembers, of so many letters at most.
+REMEMBERED, LETTERS = 1 << 14, 200
 
 
-class _Item:
-    """A tag, or a stretch of text: weight, depth of what is left out around it, and the text or whether a block ends."""
+class _Item(NamedTuple):
+    """A tag, or a stretch of text (text is not None): what its weight goes by, the words in it, is it left out, does a block end."""
 
-    __slots__ = ("breaks", "key", "out", "text", "words")
+    key: str
+    text: str | None
+    words: int
+    out: bool
+    breaks: bool
 
-    def __init__(self, key: str | None, text: str, words: int, out: bool, breaks: bool) -> None:
-        self.key, self.text, self.words, self.out, self.breaks = key, text, words, out, breaks
+
+def _says(name_list: str, holder: bool) -> bool:
+    for name in name_list.split():
+        words = [w.lower() for w in _WORD.findall(name)]
+        stated = len(words) > 1 and (words[0] in STATES[0] or words[-1] in STATES[1])
+        if not stated and any(w in (COMMENTS if holder else MARKS) for w in words):
+            return True
+    return False
+
+
+_remembered = lru_cache(REMEMBERED)(_says)
 
 
-@cache
 def _marked(attributes: str, holder: bool) -> bool:
     """Do class, id or role say that the element is no article text?"""
-    for m in _MARK.finditer(attributes):
-        for name in m[1].strip("\"'").split():
-            words = [w.lower() for w in _WORD.findall(name)]
-            stated = len(words) > 1 and (words[0] in STATES[0] or words[-1] in STATES[1])
-            if not stated and any(w in (COMMENTS if holder else MARKS) for w in words):
-                return True
-    return False
+    return any((_remembered if len(m[1]) <= LETTERS else _says)(m[1].strip("\"'"), holder) for m in _MARK.finditer(attributes))
 
 
 def tokens(page: str) -> list[_Item]:
-    """The page's words and tags in order. Scripts, styles, comments and declarations are gone; character references are decoded."""
+    """The page's words and tags in order. Scripts, styles, comments and declarations are gone; character references are decoded.
+
+    One pass: a comment, declaration or raw element that nothing ends reaches to the page's end, a "<" that begins no
+    tag is text, and an end tag is looked for among the open elements only if there is one of its name.
+    """
     items: list[_Item] = []
     stack: list[tuple[str, bool]] = []  # open elements, and whether they are left out
-    out, article, at = 0, 0, 0
+    opened: Counter[str] = Counter()
+    out, article = 0, 0
 
     def text(s: str) -> None:
         if s:
             s = html.unescape(s)
-            items.append(_Item(None, s, len(s.split()), out > 0, False))
-
-    for m in _TOKEN.finditer(page):
-        text(page[at : m.start()])
-        at = m.end()
-        name = (m[3] or "").lower()
-        if not name:
-            if m[1] and m[1].lower() in ("title", "iframe", "select", "textarea"):
-                items.append(_Item(m[1].lower(), "", 0, out > 0, True))
+            items.append(_Item("!" if out else "a" if opened["a"] else "", s, len(s.split()), out > 0, False))
+
+    def tag(name: str, gone: bool = False) -> None:
+        key = "<!" if out or gone else f"<{name}" + "^" * (article > 0)
+        items.append(_Item(key, None, 0, out > 0, name in BLOCK or name in BREAKING))
+
+    def pop() -> bool:
+        nonlocal out, article
+        name, gone = stack.pop()
+        opened[name] -= 1
+        out -= gone
+        article -= name in ("article", "main")
+        return gone
+
+    at, look, size = 0, 0, len(page)
+    while at < size:
+        lt = page.find("<", look)
+        if lt < 0:
+            text(page[at:])
+            break
+        if page.startswith(("<!", "<?"), lt):
+            text(page[at:lt])
+            end = page.find("-->", lt + 4) + 2 if page.startswith("<!--", lt) else page.find(">", lt)
+            at = look = size if end < lt + 2 else end + 1
+            continue
+        m = _TAG.match(page, lt)
+        if not m:
+            look = lt + 1
+            continue
+        text(page[at:lt])
+        at = look = m.end()
+        name, attributes = m[2].lower(), m[3]
+        if m[1]:
+            gone = False
+            if opened[name]:
+                while stack[-1][0] != name:
+                    pop()
+                gone = pop()
+            tag(name, gone)
             continue
-        if m[2]:
-            marked = False
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    marked = stack[k][1]
-                    out -= sum(x[1] for x in stack[k:])
-                    article -= sum(x[0] in ("article", "main") for x in stack[k:])
-                    del stack[k:]
-                    break
-            items.append(_Item(name + "!" * marked, "", 0, out > 0, name in BLOCK))
+        if name in _END and not (name in ("svg", "math") and attributes.endswith("/")):
+            end = _END[name].search(page, at)
+            at = look = end.end() if end else size
+            if name in BREAKING:
+                tag(name)
             continue
-        marked = _marked(m[4] or "", name in HOLDERS)
-        gone = marked or name in CHROME and not (name == "header" and article)
-        if name not in VOID and not (m[4] or "").endswith("/"):
+        gone = _marked(attributes, name in HOLDERS) or name in CHROME and not (name == "header" and article)
+        if name not in VOID and not attributes.endswith("/"):
             if name in ("p", "li", "option", "tr", "td", "th", "dt", "dd") and stack and stack[-1][0] == name:
-                out -= stack.pop()[1]  # its end tag may be left out
+                pop()  # its end tag may be left out
             stack.append((name, gone))
+            opened[name] += 1
             out += gone
             article += name in ("article", "main")
-        items.append(_Item(name + "!" * gone, "", 0, out > 0, name in BLOCK))
-    text(page[at:])
+        tag(name, gone)
     return items
 
 
 @cache
-def weights() -> tuple[float, dict[str, float], float]:
-    """The weight of a word, of each tag, and of any other tag, from the labelled pages.
+def weights() -> tuple[dict[str, float], float]:
+    """The weight of each kind of word and tag, and of any other tag, from labelled pages of many layouts.
 
-    Log odds of article against the rest, one half added to each count; a tag's weight is held below zero.
+    Log odds of article against the rest, one half added to each count. Plain words are held above zero and tags below. What is
+    left out of the text wherever it stands is held to small weights, so that an advert does not cut an article in two.
     """
     inside: Counter[str] = Counter()
     outside: Counter[str] = Counter()
-    for page in _PAGES:
-        for content, markup in page:
-            filled = markup.replace("T", "one two three four five six seven eight nine ten.").replace("W", "word")
-            for i in tokens(filled):
-                (inside if content else outside)["" if i.key is None else i.key] += i.words if i.key is None else 1
+    for page in labelled_pages(SEED, PAGES):
+        n = list(accumulate(len(tokens(m)) for _, m in page))  # items up to each part's end: no part ends inside an element but the article
+        items = tokens("".join(m for _, m in page))
+        for k, i in enumerate(items):
+            (inside if page[bisect.bisect_right(n, k)][0] else outside)[i.key] += 1 if i.text is None else i.words
     total_in, total_out = sum(inside.values()), sum(outside.values())
     odds = {k: math.log((inside[k] + 0.5) / total_in) - math.log((outside[k] + 0.5) / total_out) for k in {*inside, *outside}}
-    word = odds.pop("")
-    tags = {k: min(-0.02, v) for k, v in odds.items()}
-    return word, tags, sum(tags.values()) / len(tags)
+    tags = {k: min(-0.02, v) for k, v in odds.items() if k.startswith("<")}
+    light = {k: min(-v, max(-2 * v, odds[k])) for k, v in LIGHT.items()}
+    return tags | light | {"": max(0.1, odds[""]), "a": odds["a"]}, sum(tags.values()) / len(tags)
 
 
 def region(items: list[_Item]) -> tuple[int, int, float]:
     """First and past-the-last item of the maximum-scoring subsequence, and its score; the first such, (0, 0, 0) if no word."""
-    word, tags, other = weights()
+    weight, other = weights()
     best, lo, hi, run, start = 0.0, 0, 0, 0.0, 0
     for k, i in enumerate(items):
         if run <= 0:
             run, start = 0.0, k
-        run += word * i.words if i.key is None else tags.get(i.key, other)
+        run += weight.get(i.key, other) if i.text is None else weight[i.key] * i.words
         if run > best:
             best, lo, hi = run, start, k + 1
     return lo, hi, best
@@ -158,7 +200,7 @@ def extract(page: str | None) -> tuple[str, float]:
     # Opening marks of the text at the region's edge belong to it as far as no word is between.
     blocks, block = [], []
     for i in items[lo:hi]:
-        if i.key is None:
+        if i.text is not None:
             if not i.out:
                 block.append(i.text)
         elif i.breaks:

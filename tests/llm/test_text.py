@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -14,6 +15,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from prismtab.llm import bpe, flac, html_extract, media, pack, token_counts
+from prismtab.llm.html_layouts import Layout
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -55,6 +57,50 @@ def test_marks():
         assert html_extract.extract(page)[0] == ("One sentence of the article after another. " * 5).strip()
 
 
+def without_lists(page: str) -> str:
+    """The article's words as labelled, all elements of an article's inside being text."""
+    import html
+    import re
+
+    return " ".join(html.unescape(re.sub("<[^>]*>", " ", page)).split())
+
+
+def held_out_layouts(named: bool):
+    made = [Layout(random.Random(f"held out {i}")) for i in range(200)]
+    return [x.page() for x in made if x.named == named]
+
+
+@pytest.mark.parametrize(("named", "least"), [(True, 0.9), (False, 0.65)])
+def test_region_of_layouts_that_were_not_learned(named, least):
+    pages = held_out_layouts(named)
+    right = [" ".join(html_extract.extract("".join(m for _, m in p))[0].split()) == without_lists(" ".join(m for k, m in p if k == 1)) for p in pages]
+    assert sum(right) >= least * len(pages) > 60
+
+
+def test_the_scan_is_what_finds_unnamed_articles(monkeypatch):
+    pages = held_out_layouts(False)
+    monkeypatch.setattr(html_extract, "region", lambda items: (0, len(items), 1.0))
+    right = [" ".join(html_extract.extract("".join(m for _, m in p))[0].split()) == without_lists(" ".join(m for k, m in p if k == 1)) for p in pages]
+    assert sum(right) < 0.1 * len(pages)
+
+
+def test_tables_stay():
+    rows = "".join(f"<tr><td>cell {i}</td><td>{i}</td><td>x</td></tr>" for i in range(30))
+    for holder in ("article", "main", "div"):
+        text, _ = html_extract.extract(f"<html><body><nav><a>Menu</a></nav><{holder}><h1>Title words</h1><table>{rows}</table><p>One sentence follows the table.</p></{holder}><footer>Foot</footer></body></html>")
+        assert text == "Title words " + " ".join(f"cell {i} {i} x" for i in range(30)) + " One sentence follows the table."
+
+
+@pytest.mark.parametrize("page", ["<script " * 125_000, "<i>" * 100_000 + "</b>" * 100_000, "<a '\"" * 100_000, "<a \"<a\" " * 100_000 + "'", "<!--" * 200_000, "</script" * 100_000, "<" * 300_000, "<div>" * 100_000, "<p class='" + "x " * 300_000 + "'>a"])
+def test_hostile_pages_take_one_pass(page):
+    import time
+
+    html_extract.weights()
+    began = time.process_time()
+    html_extract.extract(page)
+    assert time.process_time() - began < 3
+
+
 def test_page_edges(spark):
     pages = [(1, "u", None), (2, None, ""), (None, "v", "just words & more"), (4, "w", "<p>cut &am"), (5, "x", "<p>a</p>" * 3), (5, "x", "<p>a</p>" * 3), (6, "y", "<script>never closed <p>x</p>"), (7, "z", "< 3 is less <p title='a>b'>than four</p>")]
     df = spark.createDataFrame([(*p, "clash") for p in pages], "page_id long, url string, html string, text string")
@@ -66,9 +112,9 @@ def test_page_edges(spark):
 
 def test_region_is_the_best_run():
     items = html_extract.tokens(PAGE % ("div", "div"))
-    word, tags, other = html_extract.weights()
-    assert word > 0 and all(w < 0 for w in tags.values())
-    value = [word * i.words if i.key is None else tags.get(i.key, other) for i in items]
+    weight, other = html_extract.weights()
+    assert weight[""] > 0 and weight["a"] < 0 and all(w < 0 for k, w in weight.items() if k[:1] in "<!" and k) and other < 0
+    value = [weight.get(i.key, other) if i.text is None else weight[i.key] * i.words for i in items]
     best = max(sum(value[a:b]) for a in range(len(value)) for b in range(a + 1, len(value) + 1))
     lo, hi, score = html_extract.region(items)
     assert score == pytest.approx(best) and sum(value[lo:hi]) == pytest.approx(best)
@@ -109,7 +155,6 @@ def test_packing(docs, empty, corpus):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(WORDS)
-    tok.encode_special_tokens = True
     size = 256
     want = []
     for row in corpus:
@@ -130,6 +175,41 @@ def test_packing(docs, empty, corpus):
     assert pack.pack(empty, WORDS, size).count() == 0
 
 
+_SIGNS = [*"abAB'stTdlmrevZ019!?.,<|>*&%$#_-^`~@ \n\t\r\x00\x0b\x0c\x1c\x85\xa0\u2003\u0308\u0301", *"ÉéßİıſKΣσς中文😀…“”½²①٣\u200d\ufeff", "'s", "'ll", "don't", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "hello", "WORLD's", "x" * 40]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.lists(st.sampled_from(_SIGNS), max_size=24).map("".join), st.text(max_size=20)), max_size=5))
+def test_ids_are_those_of_the_library(batch):
+    import pyarrow as pa
+
+    words = pack.loaded(WORDS)
+    ids, offsets = words.encode(pa.array(batch, pa.string()))
+    got = [ids[a:b].tolist() for a, b in zip(offsets, offsets[1:], strict=False)]
+    literal = type(words.tokenizer).from_file(WORDS) if not hasattr(test_ids_are_those_of_the_library, "tok") else test_ids_are_those_of_the_library.tok
+    test_ids_are_those_of_the_library.tok = literal
+    assert got == [literal.encode(t or "", add_special_tokens=False).ids for t in batch]
+
+
+def test_special_tokens_are_tokens():
+    import pyarrow as pa
+
+    ids, offsets = pack.loaded(WORDS).encode(pa.array(["hello <|endoftext|> there", "<|startoftext|>x"]))
+    assert ids.tolist()[: offsets[1]] == [3306, 49407, 997] and ids.tolist()[offsets[1]] == 49406
+
+
+def test_a_full_table_of_runs_forgets(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(pack, "SLOTS", 16)
+    monkeypatch.setattr(pack, "IDS", 40)
+    words, tok = pack.Words(WORDS), pack.loaded(WORDS).tokenizer
+    for k in range(6):
+        batch = [" ".join(f"w{i}x" for i in range(k, k + 30)), "a" * 300, f"é{k} " * 3]
+        ids, offsets = words.encode(pa.array(batch))
+        assert [ids[a:b].tolist() for a, b in zip(offsets, offsets[1:], strict=False)] == [tok.encode(t, add_special_tokens=False).ids for t in batch]
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.dictionaries(st.integers(1, 40), st.integers(1, 30), max_size=12))
 def test_plan_is_best_fit_over_single_pieces(counts):
