@@ -2,12 +2,12 @@
 
 Voters look at a text: one for each entry of a small lexicon of insults, one for each
 word or word beginning that labelled rows show to be telling, and patterns (several
-lexicon hits, hits together with an address, none at all). A generative label model, fitted
-by expectation maximisation, estimates how often each voter fires on toxic and on other
-texts, and from what is left over which voters are correlated; correlated ones share one
-vote's weight. The training rows' labels are one more voter, of fixed accuracy. The model's
-posteriors are the labels on which a linear classifier over words and word beginnings
-is trained, with an L1 penalty.
+lexicon hits, hits together with an address, none at all). Labels choose the voters and nothing
+else: the generative label model sees votes only. Fitted by expectation maximisation, it
+estimates the share of toxic texts, how often each voter fires on toxic and on other texts, and from
+what is left over which voters are correlated; correlated ones share one vote's weight. Its
+posteriors, made of the votes alone, are the labels on which a linear classifier over words and word
+beginnings is trained, with an L1 penalty.
 
 Only the classifier scores texts. It is fitted on at most SAMPLE labelled rows, the
 documented bound, and its weights are a few thousand numbers, whatever the corpus.
@@ -37,8 +37,8 @@ MINED, LEAST = 160, 3
 THRESHOLD = 0.3
 #: Bytes of text whose features are held at a time.
 STEP = 1 << 20
-#: Accuracy that the label model grants the rows' annotator, and slots that the classifier looks at.
-ANNOTATOR, SCREENED = 0.995, 3000
+#: Slots that the classifier looks at.
+SCREENED = 3000
 #: The seed lexicon: common insults.
 LEXICON = (
     "idiot", "moron", "stupid", "loser", "scum", "trash", "clown", "pathetic", "worthless", "disgusting", "dumb", "imbecile", "jerk", "creep", "garbage", "filth", "vermin", "cretin", "fool", "coward",
@@ -85,13 +85,11 @@ class LabelModel:
     share: np.ndarray
     prior: float
 
-    def posterior(self, votes: np.ndarray, annotator: np.ndarray | None = None) -> np.ndarray:
-        """The chance that each row is toxic. annotator: the labels of those who looked, a voter of known accuracy."""
+    def posterior(self, votes: np.ndarray) -> np.ndarray:
+        """The chance that each row is toxic."""
         log = lambda a, b: np.log(a) - np.log(b)
         fired, silent = log(self.toxic, self.other) * self.share, log(1 - self.toxic, 1 - self.other) * self.share
         z = log(self.prior, 1 - self.prior) + votes @ (fired - silent) + silent.sum()
-        if annotator is not None:
-            z = z + log(ANNOTATOR, 1 - ANNOTATOR) * (2 * annotator - 1)
         return _sigmoid(z)
 
 
@@ -99,11 +97,14 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def label_model(votes: np.ndarray, prior: float, annotator: np.ndarray | None = None, rounds: int = 20) -> LabelModel:
-    """Fitted by expectation maximisation. votes: rows x voters, fired or not, the last one speaking against toxic."""
+def label_model(votes: np.ndarray, rounds: int = 40) -> LabelModel:
+    """Fitted by expectation maximisation, from votes alone. votes: rows x voters, fired or not, the last one speaking against toxic.
+
+    It starts from the share of votes: a text on which two voters or more fire is taken for toxic at first.
+    """
     n, m = votes.shape
     v = votes.astype(np.float64)
-    p = np.clip(v[:, :-1].sum(1) / 2, 0.02, 0.95) if annotator is None else np.where(annotator > 0, ANNOTATOR, 1 - ANNOTATOR)
+    p = np.clip(v[:, :-1].sum(1) / 2, 0.02, 0.95)
     model = None
     for _ in range(rounds):
         t, o = p.sum(), (1 - p).sum()
@@ -116,7 +117,7 @@ def label_model(votes: np.ndarray, prior: float, annotator: np.ndarray | None =
         together = np.where(correlation > 0.3, correlation, 0)
         np.fill_diagonal(together, 1)
         model = LabelModel(toxic, other, 1 / together.sum(1), float(np.clip(t / n, 0.005, 0.6)))
-        p = model.posterior(votes, annotator)
+        p = model.posterior(votes)
     return model
 
 
@@ -224,8 +225,8 @@ def fit_arrays(toxic: np.ndarray, each: list[np.ndarray]) -> tuple[Classifier, L
     if not 0 < toxic.sum() < len(toxic):
         return linear(row, slot, toxic), None
     votes, _ = voters(row, slot, toxic)
-    model = label_model(votes, float(toxic.mean()), toxic)
-    return linear(row, slot, model.posterior(votes, toxic)), model
+    model = label_model(votes)
+    return linear(row, slot, model.posterior(votes)), model
 
 
 def fit(sample: DataFrame) -> Classifier:
@@ -253,13 +254,15 @@ def fit(sample: DataFrame) -> Classifier:
 def training_rows(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFrame:
     """text, toxic of at most `most` labelled rows whose crc32(doc_id as text) mod 4 is not 2, equal texts once.
 
-    The ids are chosen first, by hash, among twice as many, so only they are broadcast and no text is shuffled.
+    The ids are chosen first, by hash, among twice as many, so only they (2 * most numbers) are broadcast and only their texts
+    are shuffled. An id with several labels is toxic if one of them says so; of equal texts the row with the least id
+    counts, so the rows are the same whatever the order of tasks.
     """
     chosen = labels.filter("toxic is not null and doc_id is not null").filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2)
-    chosen = chosen.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic").dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * most)
+    chosen = chosen.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * most)
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
-    once = found.dropDuplicates(["text"])
-    return once.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).select("text", "toxic")
+    once = found.groupBy("text").agg(F.min(F.struct("doc_id", "toxic")).alias("r")).select("text", "r.doc_id", "r.toxic")
+    return once.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(most).select("text", "toxic")
 
 
 def score(docs: DataFrame, model: Classifier, keep: bool = False, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:

@@ -138,13 +138,51 @@ def test_toxicity_edges(spark, docs, empty, corpus):
     assert toxicity.fit(spark.createDataFrame([], "text string, toxic int")).slots.size == 0
 
 
+def test_training_rows_do_not_depend_on_order(spark):
+    """Equal texts and equal ids with different labels: the same rows whatever the order and partitions."""
+    rng = random.Random(3)
+    docs = [(i % 300, f"text {i % 97} {i % 5}") for i in range(900)] + [(None, "text 1 1"), (5, None), (7, "")]
+    labels = [(i % 300, 1, (i * 7 // 300) % 2) for i in range(600)] + [(8, 1, None), (None, 1, 1)]
+    got = []
+    for k in (1, 7):
+        rng.shuffle(docs), rng.shuffle(labels)
+        d, lab = spark.createDataFrame(docs, "doc_id long, text string").repartition(k), spark.createDataFrame(labels, "doc_id long, quality int, toxic int").repartition(k)
+        got.append(key(toxicity.training_rows(d, lab, 40).collect()))
+    best = {}
+    said = {}
+    for i, _, t in labels:
+        if i is not None and t is not None:
+            said[i] = max(said.get(i, 0), t)
+    for i, t in docs:
+        if i in said and zlib.crc32(str(i).encode()) % 4 != 2:
+            best[t] = min(best.get(t, (i, said[i])), (i, said[i]))
+    assert got[0] == got[1] and got[0].total() == 40
+    everything = toxicity.training_rows(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), 5000)
+    assert key(everything.collect()) == key((t, b[1]) for t, b in best.items())
+
+
+def test_posteriors_are_made_of_votes_alone():
+    """Rows with the same votes have the same posterior, whatever their labels; and it is near the labels all the same."""
+    docs, labels = labelled()
+    y = np.array([t for *_, t in labels], np.float64)
+    row, hashes = toxicity.features(pa.array([t.lower() for _, t in docs]))
+    each = [np.unique(toxicity._slots(hashes[row == k])).astype(np.int32) for k in range(len(docs))]
+    slot, at = np.concatenate(each).astype(np.int64), np.repeat(np.arange(len(each)), [len(e) for e in each])
+    votes, _ = toxicity.voters(at, slot, y)
+    p = toxicity.label_model(votes).posterior(votes)
+    by_votes = {}
+    for v, x in zip(votes, p, strict=True):
+        assert by_votes.setdefault(v.tobytes(), x) == pytest.approx(x)
+    assert ((p > 0.5) == y).mean() > 0.97
+
+
 def test_label_model_finds_accuracies():
     rng = np.random.default_rng(2)
     truth = rng.random(2000) < 0.3
     rates = [(0.6, 0.02), (0.5, 0.05), (0.7, 0.1), (0.4, 0.01)]
     votes = np.column_stack([rng.random(2000) < np.where(truth, a, b) for a, b in rates])
     votes = np.column_stack([votes, votes[:, 0], ~votes.any(1)])  # one opinion twice, and none at all
-    model = toxicity.label_model(votes, 0.3)
+    model = toxicity.label_model(votes)
     assert ((model.posterior(votes) > 0.5) == truth).mean() > 0.84
     assert [round(float(x), 1) for x in model.toxic[:4]] == pytest.approx([a for a, _ in rates], abs=0.15)
     assert model.share[0] < 0.6 and model.share[1] > model.share[0]
@@ -224,14 +262,18 @@ def test_groups_keep_to_their_budget(spark, monkeypatch):
     assert len(per_group) > groups / 3 and max(per_group.values()) <= budget
 
 
-def test_names_are_equal_where_symbols_are():
+@pytest.mark.parametrize("collide", [False, True])
+def test_nodes_are_equal_where_paths_are(monkeypatch, collide):
+    if collide:
+        monkeypatch.setattr(substring, "gram_hashes", lambda x, n: np.zeros(max(0, len(x) - n + 1), np.uint64))
     rng = np.random.default_rng(1)
     x = rng.integers(0, 3, 400, dtype=np.uint64)
-    for n in (1, 2, 3, 5, 8, 20, 21):
-        got = substring.names(x, n)
-        want = [tuple(x[i : i + n].tolist()) for i in range(400 - n + 1)]
+    for n in (1, 2, 5, 20, 21):
+        at = rng.permutation(400 - n + 1)[:300]
+        got = substring.nodes(x, at, n)
+        want = [tuple(x[i : i + n].tolist()) for i in at]
         assert len(set(zip(got.tolist(), want, strict=True))) == len(set(want)) == len(set(got.tolist()))
-    assert len(substring.names(x[:3], 4)) == 0
+    assert len(substring.nodes(x, np.zeros(0, np.int64), 4)) == 0
 
 
 def test_repeats_keep_columns(docs, corpus):
