@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 from collections.abc import Iterator
 
@@ -25,10 +26,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """The folder that the cluster shares; a temporary one only where none is set, as in tests."""
+    """The folder that the cluster shares, as spark.checkpoint.dir names it. Where none is set, a run on this one machine takes a temporary folder; a cluster must name one."""
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="prismtab-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(found)

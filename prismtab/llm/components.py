@@ -7,20 +7,26 @@ from pyspark.sql import functions as F
 
 from prismtab.llm.common import cut, release
 
+#: Nodes with very many edges are joined apart, by a broadcast of HUBS rows at most; HUB edges at least make one.
+HUBS, HUB = 5000, 1000
+
 
 def _done(edges: DataFrame) -> bool:
     """Is every edge one from a node with no other edge to a root?"""
     if edges.groupBy("u").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count():
         return False
-    return not edges.join(edges.select(F.col("u").alias("v")), "v", "left_semi").limit(1).count()
+    # Nodes are made distinct where they are, so that a root of very many edges is one row for each task.
+    return not edges.select("v").distinct().join(edges.select(F.col("u").alias("v")).distinct(), "v", "left_semi").limit(1).count()
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+def _star(edges: DataFrame, n_edges: int, large: bool) -> DataFrame:
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     sided = both if large else both.filter("v < u")
-    least = sided.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("x"), F.least("u", "m").alias("m"))
-    # Cut, so that both sides of the join are plain exchanges and a node with very many edges can be split.
-    joined = sided.join(cut(least), F.col("u") == F.col("x"))
+    least = sided.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select(F.col("u").alias("x"), F.least("u", "m").alias("m"), "n")
+    hub = max(HUB, 2 * n_edges // HUBS)  # so fewer than HUBS nodes have more edges
+    hubs = F.broadcast(least.filter(F.col("n") > hub))
+    at = F.col("u") == F.col("x")
+    joined = sided.join(hubs, at).select("u", "v", "m").union(sided.join(hubs, at, "left_anti").join(least.filter(F.col("n") <= hub), at).select("u", "v", "m"))
     if large:
         return joined.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
     own = joined.select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -34,6 +40,7 @@ def components(edges: DataFrame) -> DataFrame:
     """
     now = cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct())
     while not _done(now):
-        now = cut(_star(cut(_star(now, True)), False))
+        now = cut(_star(now, now.count(), True))
+        now = cut(_star(now, now.count(), False))
         release(now.sparkSession)
     return now.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -7,10 +7,13 @@ bin alone. Classes whose bins agree in a whole band share a bucket; each bucket
 gives a star of edges to its least member, so it has fewer edges than members. The
 stars' components are candidate groups: every pair that shares a bucket is in one.
 
-Links are confirmed on the full sets within the groups. A group up to BLOCK members
-is a unit of work. A larger one is cut into blocks: first every member is compared
-with a few pivots, and then the members that are not linked to the best pivot are
-compared with all blocks. Units return spanning forests of their links, never all pairs.
+Links are confirmed on the full sets. A group up to BLOCK members is a unit of work. In a larger
+one, which may have come together by chance, every member is first compared with a few pivots; then the
+members that are not linked to the best pivot are compared with those that share a bucket with them, bucket by
+bucket, a large bucket in blocks. So the work follows the buckets and not the square of a group. Units return
+spanning forests of their links, never all pairs, and components are closed over confirmed links alone.
+
+A class is known by 128 bits of its set, a row by its doc_id and 64 bits of doc_id and text.
 """
 
 from __future__ import annotations
@@ -19,12 +22,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from prismtab.llm.common import cut, partitions, raw, release, row_key, small_batches, steps, table
 from prismtab.llm.components import components
-from prismtab.llm.words import LOWER, gram_hashes, mix, spans, word_hashes
+from prismtab.llm.words import LOWER, gram_hashes, mix, spans, turned, word_hashes
 
 #: A pair at similarity 0.8 shares none of 48 bands of 6 bins with a probability of about 5e-7.
 BANDS, ROWS = 48, 6
@@ -33,6 +36,7 @@ BLOCK, PIVOTS = 256, 16
 COLUMNS = 8192
 
 _BINS = BANDS * ROWS
+_SECOND = np.uint64(0xA0761D6478BD642F)
 _ORDER = np.stack([np.random.default_rng([7, i]).permutation(_BINS) for i in range(_BINS)])
 _ROW_BASE = np.random.default_rng(11).integers(1, 1 << 63, ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -76,10 +80,10 @@ def shingle_sets(col: pa.Array, shingle: int) -> list[np.ndarray]:
 
 
 def fingerprinted(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, rk, n_shingles, cid (the class), bands: null where this task has met the class before, or without shingles."""
+    """doc_id, rk, n_shingles, cid (the class, 16 bytes), bands: null where this task has met the class before, or without shingles."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        met: set[int] = set()
+        met: set[bytes] = set()
         for batch in batches:
             for some in steps(batch, "text"):
                 n, cid, keys = [], [], []
@@ -88,7 +92,7 @@ def fingerprinted(docs: DataFrame, shingle: int) -> DataFrame:
                     if not len(s):
                         cid.append(None), keys.append(None)
                         continue
-                    c = int((mix(s).sum(dtype=np.uint64) ^ np.uint64(len(s))).astype(np.int64))
+                    c = np.array([mix(s).sum(dtype=np.uint64) ^ np.uint64(len(s)), mix(turned(s) ^ _SECOND).sum(dtype=np.uint64)]).tobytes()
                     cid.append(c)
                     if c in met:
                         keys.append(None)
@@ -97,9 +101,9 @@ def fingerprinted(docs: DataFrame, shingle: int) -> DataFrame:
                         met.clear()
                     met.add(c)
                     keys.append(bands(signature(s)).astype(np.int64))
-                yield pa.record_batch([some.column(0), some.column(1), pa.array(n, pa.int64()), pa.array(cid, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "rk", "n_shingles", "cid", "bands"])
+                yield pa.record_batch([some.column(0), some.column(1), pa.array(n, pa.int64()), pa.array(cid, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "rk", "n_shingles", "cid", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key("doc_id", "text").alias("rk"), "text").mapInArrow(work, "doc_id long, rk long, n_shingles long, cid long, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key("doc_id", "text").alias("rk"), "text").mapInArrow(work, "doc_id long, rk long, n_shingles long, cid binary, bands array<long>")
 
 
 def _units(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[list[tuple]]:
@@ -198,7 +202,8 @@ def clustered(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFram
     """
     spark = docs.sparkSession
     seen = cut(fingerprinted(docs, shingle))
-    classes = cut(seen.filter("cid is not null and doc_id is not null").groupBy("cid").agg(F.min("doc_id").alias("node"), F.min("rk").alias("rk")))
+    first = seen.filter("cid is not null and doc_id is not null").groupBy("cid").agg(F.min(F.struct("doc_id", "rk")).alias("first"))
+    classes = cut(first.select("cid", F.col("first.doc_id").alias("node"), F.col("first.rk").alias("rk")))
     banded = seen.filter("bands is not null").join(classes.select("cid", "node"), "cid").select("node", F.explode("bands").alias("key"))
     same_id = seen.filter("cid is not null and doc_id is not null").join(classes.select("cid", "node"), "cid").filter("node <> doc_id")
     buckets = cut(banded.groupBy("key").agg(F.min("node").alias("center"), F.max("node").alias("last")).filter("center <> last").select("key", "center"))
@@ -208,8 +213,8 @@ def clustered(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFram
     groups = cut(found.select("node", F.col("root").alias("gid")).union(found.select(F.col("root").alias("node"), F.col("root").alias("gid"))).distinct())
     # Class rows to fetch, with their sets: those in groups, once each.
     wanted = classes.join(groups, "node").select("rk", "node", "gid")
-    text = docs.select(row_key("doc_id", "text").alias("rk"), F.coalesce("text", F.lit("")).alias("text"))
-    sets = cut(_sets(text.join(wanted.hint("shuffle_hash"), "rk").dropDuplicates(["rk", "node"]), shingle))
+    text = docs.select(F.col("doc_id").cast("long").alias("node"), row_key("doc_id", "text").alias("rk"), F.coalesce("text", F.lit("")).alias("text"))
+    sets = cut(_sets(text.join(wanted.hint("shuffle_hash"), ["node", "rk"]).dropDuplicates(["node", "rk"]), shingle))
     sizes = groups.groupBy("gid").agg(F.count("*").alias("size"))
     large = cut(sizes.filter(F.col("size") > BLOCK).select("gid", F.ceil(F.col("size") / BLOCK).alias("n_blocks")))
     release(spark)
@@ -217,7 +222,7 @@ def clustered(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFram
     small = sets.join(large, "gid", "left_anti").select("gid", side(2), "node", "shingles")
     edges = _compared(small, ["gid"], least, _forest)
     if large.limit(1).count():
-        edges = edges.union(_large(sets, large, least))
+        edges = edges.union(_large(sets, large, least, banded.join(buckets.select("key"), "key")))
     # Rows of one doc_id with other sets stand together.
     edges = edges.union(same_id.select(F.col("node").alias("u"), F.col("doc_id").alias("v")).join(classes.select(F.col("node").alias("v")).distinct(), "v").select("u", "v"))
     roots = components(edges)
@@ -227,13 +232,11 @@ def clustered(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFram
     return rest.join(mapped, "cid").select("doc_id", "rk", "n_shingles", "component_id").union(own)
 
 
-def _large(sets: DataFrame, large: DataFrame, least: float) -> DataFrame:
-    """Edges within groups of more than BLOCK members."""
+def _large(sets: DataFrame, large: DataFrame, least: float, banded: DataFrame) -> DataFrame:
+    """Edges within groups of more than BLOCK members. banded: node, key of buckets with two members or more."""
     block = F.expr("pmod(xxhash64(node), n_blocks)").cast("int")
     members = cut(sets.join(large, "gid").withColumn("block", block))
     # Pivots: the first members of block 0 of each group, so at most PIVOTS for each group.
-    from pyspark.sql import Window
-
     ranked = members.filter("block = 0").select("gid", "node", "n_blocks", F.row_number().over(Window.partitionBy("gid").orderBy(F.xxhash64("node", F.lit(1)))).alias("r"))
     pivots = cut(ranked.filter(F.col("r") <= PIVOTS).join(members.select("node", "gid", "shingles"), ["gid", "node"]))
     to_blocks = pivots.select("gid", F.explode(F.sequence(F.lit(0), (F.col("n_blocks") - 1).cast("int"))).alias("block"), F.lit(0).alias("side"), "node", "shingles")
@@ -242,12 +245,18 @@ def _large(sets: DataFrame, large: DataFrame, least: float) -> DataFrame:
     counts = pivoted.groupBy("u").agg(F.count("*").alias("n")).join(pivots.select(F.col("node").alias("u"), "gid"), "u")
     best = cut(counts.groupBy("gid").agg(F.max(F.struct("n", "u")).alias("b")).select(F.col("b.u").alias("u")))
     settled = pivoted.join(best, "u", "left_semi").select(F.col("v").alias("node")).distinct()
-    loose = cut(members.join(settled, "node", "left_anti"))
-    n_loose = cut(loose.groupBy("gid").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n_loose")))
-    part = F.expr("pmod(xxhash64(node, 2), n_loose)").cast("int")
-    lefts = loose.join(n_loose, "gid").select("gid", part.alias("part"), F.explode(F.sequence(F.lit(0), (F.col("n_blocks") - 1).cast("int"))).alias("block"), F.lit(0).alias("side"), "node", "shingles")
-    rights = members.join(n_loose, "gid").select("gid", F.explode(F.sequence(F.lit(0), F.col("n_loose") - 1)).alias("part"), "block", F.lit(1).alias("side"), "node", "shingles")
-    return _compared(lefts.union(rights), ["gid", "part", "block"], least, _forest).union(pivoted)
+    loose = members.select("node").join(settled, "node", "left_anti").withColumn("loose", F.lit(1))
+    # Buckets with a member that isn't settled: each such member against all of the bucket, in blocks.
+    inside = cut(banded.join(members.select("node"), "node").join(loose, "node", "left").select("key", "node", F.coalesce("loose", F.lit(0)).alias("loose")).distinct())
+    parts = lambda n: F.ceil(n / BLOCK).cast("int")
+    plan = inside.groupBy("key").agg(parts(F.sum("loose")).alias("n_left"), parts(F.count("*")).alias("n_right")).filter("n_left > 0")
+    dealt = inside.join(plan, "key")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    mine = lambda n, seed: F.expr(f"pmod(xxhash64(node, {seed}), {n})").cast("int")
+    lefts = dealt.filter("loose = 1").select("node", "key", mine("n_left", 2).alias("part"), every("n_right").alias("block"), F.lit(0).alias("side"))
+    rights = dealt.select("node", "key", every("n_left").alias("part"), mine("n_right", 3).alias("block"), F.lit(1).alias("side"))
+    units = lefts.union(rights).join(members.select("node", "shingles"), "node")
+    return _compared(units, ["key", "part", "block"], least, _forest).union(pivoted)
 
 
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
