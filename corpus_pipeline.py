@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prismtab.llm import minhash, pack, secrets, substring, toxicity
-from prismtab.llm.common import row_key, small_batches, table
+from prismtab.llm.common import cut, row_key, small_batches, table
 
 
 def toxic_documents_go(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,10 +25,13 @@ def toxic_documents_go(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the least doc_id of each group linked by 0.8 of their five-word shingles. Of equal rows one stays."""
     small_batches(spark)
-    kept = minhash.clustered(docs, 5, 0.8).filter("doc_id is null or doc_id = component_id").select(F.col("rk").alias("__rk"))
-    rows = docs.withColumn("__rk", row_key("doc_id", "text")).join(kept.distinct().hint("shuffle_hash"), "__rk", "left_semi")
-    if kept.count() != kept.distinct().count():
-        rows = rows.dropDuplicates(["__rk"])
+    # Cut once: a row for each row that stays, known by its doc_id and 64 bits of doc_id and text.
+    kept = cut(minhash.clustered(docs, 5, 0.8).filter("doc_id is null or doc_id = component_id").select(F.col("doc_id").alias("__id"), F.col("rk").alias("__rk")))
+    once = kept.distinct()
+    same = (F.col("__key") == F.col("__rk")) & F.col("doc_id").eqNullSafe(F.col("__id"))
+    rows = docs.withColumn("__key", row_key("doc_id", "text")).join(once.hint("shuffle_hash"), same, "left_semi")
+    if kept.count() != once.count():
+        rows = rows.dropDuplicates(["doc_id", "__key"])
     return rows.select(*docs.columns)
 
 
