@@ -6,9 +6,11 @@ import itertools
 import random
 import time
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import IllegalArgumentException
 from pyspark.ml import Model
 from pyspark.ml import classification as C
 from pyspark.ml import regression as R
@@ -19,6 +21,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from prismtab.functions.columns import normalise, numeric_columns
+from prismtab.functions.store import cut
+from prismtab.operators.classifiers import KernelSVM, Ridge
 from prismtab.operators.clean import fill_values
 
 MISSING = "__missing__"
@@ -34,6 +38,10 @@ GRIDS: dict[str, dict[str, list]] = {
 }
 
 
+#: The greatest depth of Spark's trees, and classes at most.
+DEEPEST, CLASSES = 30, 10_000
+
+
 def task_type(df: DataFrame, target: str) -> str:
     """classification for text and for few distinct numbers (20 at most, or under 5 % of the rows), else regression."""
     if target not in numeric_columns(df):
@@ -68,29 +76,36 @@ def prepared(df: DataFrame, target: str) -> tuple[DataFrame, list[str]]:
 
 
 def split(df: DataFrame, share: float = 0.2, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """Training and test rows by a hash of the row, so that the same rows part the same way on any cluster."""
-    part = F.pmod(F.xxhash64(F.lit(seed), *[F.col(c).cast("string") for c in df.columns]), F.lit(10_000)) < int(share * 10_000)
-    return df.filter(~part), df.filter(part)
+    """Training and test rows, dealt at random row by row: equal rows may fall on either side. A lost task deals its partition's rows alike again."""
+    fit_on, held = df.randomSplit([1 - share, share], seed)
+    return fit_on, held
 
 
-def build(name: str, params: dict | None = None, seed: int = 42, n_classes: int = 2):
-    """An unfitted estimator; ValueError for an unknown name. Boosted trees and the margin classifiers are one-vs-rest beyond two classes.
+def build(name: str, params: dict | None = None, seed: int = 42, n_classes: int = 2, n_rows: int = 100):
+    """An unfitted estimator; ValueError for an unknown name or kernel. Boosted trees and the margin classifiers are one-vs-rest beyond two classes.
 
-    ridge is logistic regression with an L2 penalty of alpha, as Spark has no ridge classifier; svm is linear whatever the kernel.
+    n_rows is the number of rows that it will be fitted on, as C weighs the rows' sum and Spark takes their mean.
+    A forest without a depth grows to DEEPEST, the most that Spark has; a greater depth is a ValueError.
     """
     p = params or {}
     if name == "random_forest":
-        depth = p.get("max_depth") or 15
-        return C.RandomForestClassifier(numTrees=p.get("n_estimators", 100), maxDepth=min(depth, 15), seed=seed)
+        depth = p.get("max_depth") or DEEPEST
+        if depth > DEEPEST:
+            raise ValueError(f"trees are {DEEPEST} deep at most")
+        return C.RandomForestClassifier(numTrees=p.get("n_estimators", 100), maxDepth=depth, seed=seed)
     if name == "gradient_boosting":
         one = C.GBTClassifier(maxIter=p.get("n_estimators", 100), stepSize=p.get("learning_rate", 0.1), maxDepth=p.get("max_depth", 3), seed=seed)
         return one if n_classes <= 2 else C.OneVsRest(classifier=one)
     if name == "logistic_regression":
-        return C.LogisticRegression(maxIter=p.get("max_iter", 200), regParam=1.0 / (100.0 * p.get("C", 1.0)))
+        return C.LogisticRegression(maxIter=p.get("max_iter", 200), regParam=1.0 / (max(1, n_rows) * p.get("C", 1.0)))
     if name == "ridge":
-        return C.LogisticRegression(maxIter=100, regParam=p.get("alpha", 1.0) / 100.0, elasticNetParam=0.0)
+        return Ridge(p.get("alpha", 1.0), n_classes)
     if name == "svm":
-        one = C.LinearSVC(maxIter=50, regParam=1.0 / (100.0 * p.get("C", 1.0)))
+        if p.get("kernel", "rbf") == "rbf":
+            return KernelSVM(p.get("C", 1.0), n_classes, seed=seed)
+        if p["kernel"] != "linear":
+            raise ValueError(f"unknown kernel {p['kernel']!r}")
+        one = C.LinearSVC(maxIter=50, regParam=1.0 / (max(1, n_rows) * p.get("C", 1.0)))
         return one if n_classes <= 2 else C.OneVsRest(classifier=one)
     raise ValueError(f"unknown model {name!r}")
 
@@ -140,7 +155,7 @@ def _assembled(df: DataFrame, names: list[str], label: Column) -> DataFrame:
 def train(df: DataFrame, target: str, test_share: float = 0.2, seed: int = 42) -> dict:
     """Boosted trees (100 of depth 4) for the target: task, metrics (4 places) on held-out rows, importances (sorted), model, features, labels.
 
-    ValueError if there is no such column. Codes and medians are of all rows, held-out ones included, before the split.
+    ValueError if there is no such column, or more than CLASSES classes. Codes and medians are of all rows, held-out ones included, before the split.
     """
     if target not in df.columns:
         raise ValueError(f"no column {target!r}")
@@ -150,7 +165,9 @@ def train(df: DataFrame, target: str, test_share: float = 0.2, seed: int = 42) -
     classes: list[str] = []
     if task == "classification":
         m = codes(rows, target)
-        classes = [r["value"] for r in m.orderBy("code").limit(10_000).collect()]
+        classes = [r["value"] for r in m.orderBy("code").limit(CLASSES + 1).collect()]
+        if len(classes) > CLASSES:
+            raise ValueError(f"{target!r} has more than {CLASSES} classes")
         table = F.create_map(*[y for i, v in enumerate(classes) for y in (F.lit(v), F.lit(float(i)))])
         data = _assembled(x, names, table[F.coalesce(F.col(target).cast("string"), F.lit(MISSING))])
         one = C.GBTClassifier(maxIter=100, maxDepth=4, seed=seed)
@@ -175,8 +192,9 @@ def train_single(data: DataFrame, names: list[str], model: str, params: dict | N
     assembled = _assembled(data, names, F.col("label").cast("double"))
     fit_on, held = split(assembled.withColumn("f__", vector_to_array("features")), test_share, seed)
     n_classes = assembled.select("label").distinct().count()
+    n_rows = fit_on.count()
     began = time.time()
-    fitted = build(model, params, seed, n_classes).fit(fit_on.drop("f__"))
+    fitted = build(model, params, seed, n_classes, n_rows).fit(fit_on.drop("f__"))
     ms = (time.time() - began) * 1000
     metrics = class_metrics(fitted.transform(held.drop("f__")))
     return {"model": model, "metrics": {k: round(v, 6) for k, v in metrics.items()}, "importances": importances(fitted, names), "fit_ms": ms, "fitted": fitted}
@@ -197,27 +215,29 @@ def compare_models(data: DataFrame, names: list[str], models: tuple[str, ...] =
     )
 
 
-def _cross_validated(data: DataFrame, model: str, params: dict, cv: int, metric: str, seed: int, n_classes: int) -> float:
-    """The mean metric over folds dealt by hash; 0 where a fit fails."""
+def _cross_validated(folds: list[DataFrame], model: str, params: dict, metric: str, seed: int, n_classes: int) -> float:
+    """The mean metric over the folds; 0 where the rest can't be fitted, as with rows of one class."""
     scores = []
-    for fold in range(cv):
+    for k, held in enumerate(folds):
+        rest = reduce(DataFrame.union, folds[:k] + folds[k + 1 :])
         try:
-            fitted = build(model, params, seed, n_classes).fit(data.filter(F.col("fold") != fold))
-            scores.append(class_metrics(fitted.transform(data.filter(F.col("fold") == fold)))[metric])
-        except Exception:  # noqa: BLE001  a combination that can't be fitted ranks last
+            fitted = build(model, params, seed, n_classes, rest.count()).fit(rest)
+        except (ValueError, IllegalArgumentException):  # a combination that can't be fitted ranks last; a lost executor is no such case
             scores.append(0.0)
+            continue
+        scores.append(class_metrics(fitted.transform(held))[metric])
     return sum(scores) / len(scores)
 
 
 def _search(data: DataFrame, names: list[str], model: str, combos: list[dict], cv: int, metric: str, seed: int) -> DataFrame:
     if metric not in METRICS:
         raise ValueError(f"unknown metric {metric!r}")
-    assembled = _assembled(data, names, F.col("label").cast("double"))
-    folded = assembled.withColumn("fold", F.pmod(F.xxhash64(F.lit(seed), vector_to_array("features"), "label"), F.lit(cv)).cast("int")).cache()
-    n_classes = folded.select("label").distinct().count()
-    scored = [(round(_cross_validated(folded, model, c, cv, metric, seed, n_classes), 6), i, c) for i, c in enumerate(combos)]
+    assembled = cut(_assembled(data, names, F.col("label").cast("double")))
+    # Dealt row by row; arrays beside the vectors, as rows are sorted before they are dealt and vectors have no order.
+    folds = [f.drop("f__") for f in assembled.withColumn("f__", vector_to_array("features")).randomSplit([1.0] * cv, seed)]
+    n_classes = assembled.select("label").distinct().count()
+    scored = [(round(_cross_validated(folds, model, c, metric, seed, n_classes), 6), i, c) for i, c in enumerate(combos)]
     ranked = sorted(scored, key=lambda x: (-x[0], x[1]))
-    folded.unpersist()
     rows = [(model, r + 1, {k: str(v) for k, v in c.items()}, s, len(combos)) for r, (s, _, c) in enumerate(ranked)]
     return data.sparkSession.createDataFrame(rows, "model string, rank int, params map<string,string>, score double, total_combinations int")
 

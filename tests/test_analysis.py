@@ -246,6 +246,56 @@ def test_models(spark):
     assert [len(models.combinations(g)) for g in models.GRIDS.values()] == [12, 12, 4, 3, 6]
 
 
+def _points(spark, xs, ys):
+    from pyspark.ml.linalg import Vectors
+
+    return spark.createDataFrame([(Vectors.dense(*map(float, x)), float(y)) for x, y in zip(xs, ys, strict=True)], ["features", "label"])
+
+
+def test_ridge_is_penalised_least_squares(spark):
+    from prismtab.operators.classifiers import Ridge
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(150, 3)) * [1, 5, 0.2]
+    y = (x @ [1, -0.3, 2] + rng.normal(size=150) > 0).astype(int)
+    for alpha in (0.1, 10.0):
+        m = Ridge(alpha).fit(_points(spark, x, y))
+        centered, t = x - x.mean(0), 2.0 * y - 1
+        want = np.linalg.solve(centered.T @ centered + alpha * np.eye(3), centered.T @ (t - t.mean()))
+        assert m.weights[0] == pytest.approx(want, rel=1e-4, abs=1e-6)
+    three = np.array([0, 1, 2] * 50)
+    moved = rng.normal(size=(150, 2)) + np.array([[0, 0], [5, 0], [0, 5]])[three]
+    got = Ridge(1.0, 3).fit(_points(spark, moved, three)).transform(_points(spark, moved, three))
+    assert got.filter("prediction = label").count() > 140
+
+
+def test_radial_kernel_parts_a_disc_from_what_is_around_it(spark):
+    rng = np.random.default_rng(5)
+    x = rng.uniform(-2, 2, (400, 2))
+    y = (np.hypot(*x.T) < 1.2).astype(int)
+    rows = _points(spark, x, y)
+    right = {k: models.build("svm", {"kernel": k}, n_rows=400).fit(rows).transform(rows).filter("prediction = label").count() / 400 for k in ("rbf", "linear")}
+    assert right["rbf"] > 0.9 > 0.8 > right["linear"]
+    with pytest.raises(ValueError):
+        models.build("svm", {"kernel": "poly"})
+    with pytest.raises(ValueError):
+        models.build("random_forest", {"max_depth": 31})
+
+
+def test_split_parts_equal_rows(spark):
+    fit_on, held = models.split(_points(spark, [[1.0, 2.0]] * 500, [1] * 500))
+    assert 60 < held.count() < 140 and fit_on.count() + held.count() == 500
+
+
+def test_a_lost_executor_is_no_bad_score(spark, monkeypatch):
+    def lost(*_):
+        raise RuntimeError("executor lost")
+
+    monkeypatch.setattr(models, "build", lost)
+    with pytest.raises(RuntimeError):
+        models._search(synthetic.classification(spark, 60, 3, 2), ["f0", "f1", "f2"], "ridge", [{}], 2, "accuracy", 1)
+
+
 def test_shap_adds_up(spark):
     df = spark.createDataFrame([(float(i % 5), float(i % 3), float(i % 5) * 2 + (i % 3)) for i in range(120)], "a double, b double, y double")
     from pyspark.ml.feature import VectorAssembler
