@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from prismtab.functions.columns import normalise, numeric_columns, string_columns, to_timestamp
+from prismtab.functions.store import cut
 
 #: Kinds whose most frequent values are listed.
 TOP_KINDS = ("categorical", "categorical_numeric", "string", "boolean")
@@ -24,15 +25,30 @@ EXACT = 2_000_000
 BINS = 4096
 
 
+_WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+
+
 def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
-    """column, value (text), number (the value as double, for numeric columns), n: non-null values of each column."""
+    """column, value (text), number (the value as double, for numeric columns), n: non-null values of each column.
+
+    Values are counted as they are, whole numbers, other numbers and text apart, and only distinct ones are written as text.
+    """
     numeric = set(numeric_columns(df))
-    cells = [
-        F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value"), (F.col(c).cast("double") if c in numeric else F.lit(None).cast("double")).alias("number"))
-        for c in columns
-    ]
-    long = df.select(F.explode(F.array(*cells)).alias("c")).select("c.column", "c.value", "c.number").filter("value is not null")
-    return long.groupBy("column", "value", "number").agg(F.count("*").alias("n"))
+
+    def cell(i: int, c: str) -> Column:
+        kind = df.schema[c].dataType
+        whole, real = isinstance(kind, _WHOLE), isinstance(kind, (T.FloatType, T.DoubleType))
+        text = F.lit(None).cast("string") if whole or real else F.col(c).cast("string")
+        # A decimal is known by its text and has a number beside it.
+        number = F.col(c).cast("double") if c in numeric and not whole else F.lit(None).cast("double")
+        return F.struct(F.lit(i).alias("i"), (F.col(c).cast("long") if whole else F.lit(None).cast("long")).alias("l"), number.alias("d"), text.alias("s"))
+
+    long = df.select(F.explode(F.array(*[cell(i, c) for i, c in enumerate(columns)])).alias("c")).select("c.*").filter("l is not null or d is not null or s is not null")
+    counted = long.groupBy("i", "l", "d", "s").agg(F.count("*").alias("n"))
+    singles = [i for i, c in enumerate(columns) if isinstance(df.schema[c].dataType, T.FloatType)]
+    real = F.when(F.col("i").isin(singles), F.col("d").cast("float").cast("string")).otherwise(F.col("d").cast("string")) if singles else F.col("d").cast("string")
+    name = F.element_at(F.array(*[F.lit(c) for c in columns]), F.col("i") + 1)
+    return counted.select(name.alias("column"), F.coalesce("s", F.col("l").cast("string"), real).alias("value"), F.coalesce("d", F.col("l").cast("double")).alias("number"), "n")
 
 
 def exact_quantiles(counts: DataFrame, probs: list[float], limit: int = EXACT) -> DataFrame:
@@ -120,7 +136,8 @@ def profile(df: DataFrame, columns: list[str] | None = None, approx: bool = Fals
     df = normalise(df.select(*(columns or df.columns)))
     columns, numeric = df.columns, numeric_columns(df)
     base = _moments(df, columns)
-    counts = value_counts(df, columns)
+    # Cut: size, quantiles, distinct and top values all read it. approx has no use for quantiles of it.
+    counts = value_counts(df, columns) if approx else cut(value_counts(df, columns))
     probs = [0.25, 0.5, 0.75]
     if approx:
         row = df.agg(*[F.approx_count_distinct(c).alias(f"d{i}") for i, c in enumerate(columns)], *[F.percentile_approx(F.col(c).cast("double"), probs).alias(f"q{i}") for i, c in enumerate(columns) if c in numeric])
@@ -130,8 +147,10 @@ def profile(df: DataFrame, columns: list[str] | None = None, approx: bool = Fals
         distinct = counts.groupBy("column").agg(F.count("*").alias("unique_count"))
         spread = distinct.join(exact_quantiles(counts.filter("number is not null"), probs), "column", "left")
     joined = base.join(F.broadcast(spread), "column", "left").withColumn("unique_count", F.coalesce("unique_count", F.lit(0)).cast("long"))  # a row for each column
-    joined = joined.withColumn("type", semantic_type())
-    fences = {r["column"]: r["q"] for r in joined.select("column", "q").collect() if r["q"]}  # a row for each column
+    rows = joined.withColumn("type", semantic_type())
+    kept = rows.collect()  # a row for each column; what follows joins to it without working it out again
+    joined = df.sparkSession.createDataFrame(kept, rows.schema)
+    fences = {r["column"]: r["q"] for r in kept if r["q"]}
     beyond = [F.count_if((F.col(c).cast("double") < q[0] - 1.5 * (q[2] - q[0])) | (F.col(c).cast("double") > q[2] + 1.5 * (q[2] - q[0]))).alias(f"o{i}") for i, (c, q) in enumerate(fences.items())]
     cells = [F.struct(F.lit(c).alias("column"), F.col(f"o{i}").alias("outlier_count")) for i, c in enumerate(fences)]
     if beyond:
