@@ -64,7 +64,7 @@ def mahalanobis_2d(spark, sf):
 
 @C.add(
     "lof",
-    """with p as (select p_partkey as id, (p_size - (select avg(p_size) from part where p_partkey <= 400)) / (select stddev_pop(p_size) from part where p_partkey <= 400) as x, (p_retailprice - (select avg(p_retailprice) from part where p_partkey <= 400)) / (select stddev_pop(p_retailprice) from part where p_partkey <= 400) as y from part where p_partkey <= 400),
+    """with p as (select p_partkey as id, (p_size - (select avg(p_size) from part)) / (select stddev_pop(p_size) from part) as x, (p_retailprice - (select avg(p_retailprice) from part)) / (select stddev_pop(p_retailprice) from part) as y from part),
 n as (select a.id as a, b.id as b, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) as d from p a join p b on a.id <> b.id qualify row_number() over (partition by a.id order by d, b.id) <= 20),
 k as (select a, max(d) as kd from n group by a), r as (select n.a, 1 / (avg(greatest(d, kd)) + 1e-10) as lrd from n join k on k.a = n.b group by n.a)
 select n.a as row_id, avg(o.lrd) / any_value(m.lrd) > 1.5 as anomaly from n join r o on o.a = n.b join r m on m.a = n.a group by n.a""",
@@ -238,9 +238,26 @@ def forecast_ensemble(spark, sf):
     return _r(forecast.forecasts(_daily(spark, sf)).select("series", F.posexplode("ensemble.predictions").alias("step", "prediction")), "prediction", n=3)
 
 
-@C.add("forecast_compare")
+#: All methods of all series: their errors e (k is the method) and predictions y.
+_METHODS_CTE = f"""with recursive {_SERIES}, {_MA_CTE}, {_SES_CTE},
+p as (select series, v, i, avg(v) over (partition by series order by i rows between 3 preceding and 1 preceding) as p from s),
+f as (select series, any_value(n) as n, regr_slope(v, i) as b, regr_intercept(v, i) as a from s group by series),
+pairs as (select series, 0 as k, v, p from p where i >= 3 union all select s.series, 1, s.v, ses.p from ses join s on ses.series = s.series and ses.i = s.i where s.i > 0 union all select s.series, 2, v, a + b * i from s join f using (series)),
+e3 as (select series, k, round(avg(abs(v - p)), 6) as mae, round(sqrt(avg((v - p) ** 2)), 6) as rmse, round(coalesce(avg(abs((v - p) / nullif(v, 0))), 0) * 100, 6) as mape from pairs group by series, k),
+e as (select * from e3 union all select series, 3, round(sum(mae) / 3, 6), round(sum(rmse) / 3, 6), round(sum(mape) / 3, 6) from e3 group by series),
+y3 as (select series, 0 as k, step - 1 as step, round(last[3], 6) as y from ma where step > 0 union all select series, 1, h.h, round(l, 6) from ses, range(5) h(h) where i = (select max(i) from s where s.series = ses.series) union all select series, 2, h.h, round(a + b * (n + h.h), 6) from f, range(5) h(h)),
+y as (select * from y3 union all select series, 3, step, round(sum(y) / 3, 6) from y3 group by series, step)"""
+
+
+@C.add(
+    "forecast_compare",
+    f"""{_METHODS_CTE}, b as (select series, arg_min(k, mae * 1e6 + k * 1e-3) as k from e group by series)
+    select y.series, ['moving_average', 'exponential_smoothing', 'linear_trend', 'ensemble'][y.k + 1] as method, step::int as step, round(y, 3) as prediction, round(mae, 3) as mae, round(rmse, 3) as rmse, round(mape, 3) as mape, y.k = b.k as best
+    from y join e on e.series = y.series and e.k = y.k join b on b.series = y.series""",
+)
 def forecast_compare(spark, sf):
-    return forecast.compared(_daily(spark, sf))
+    c = forecast.compared(_daily(spark, sf)).select("series", "method", "mae", "rmse", "mape", "best", F.posexplode("predictions").alias("step", "prediction"))
+    return _r(c, "prediction", "mae", "rmse", "mape", n=3)
 
 
 def _decompose_sql(p: int) -> str:
@@ -265,20 +282,38 @@ def forecast_confidence(spark, sf):
     return f.select("series", "step", F.round(F.col("upper") - F.col("lower"), 2).alias("width"))
 
 
-@C.add("forecast_multistep")
+@C.add(
+    "forecast_multistep",
+    f"""with recursive {_SERIES}, {_SES_CTE},
+    m as (select s.series, 0 as step, any_value(n)::double as n, sum(s.v) as sv, sum(s.i * s.v) as siv, max(ses.l) filter (s.i = n - 1) as l, list(s.v order by s.i)[-3:] as last, null::double as y from s join ses on ses.series = s.series and ses.i = s.i group by s.series
+    union all select series, step + 1, n + 1, sv + y1, siv + n * y1, 0.3 * y1 + 0.7 * l, list_append(last[2:], y1), y1
+    from (select *, round((round((last[1] + last[2] + last[3]) / 3, 6) + round(l, 6) + round(sv / n + b * (n + 1) / 2, 6)) / 3, 6) as y1 from (select *, (siv - (n - 1) / 2 * sv) / (n * (n * n - 1) / 12) as b from m)) where step < 4)
+    select series, (step - 1)::int as step, round(y, 3) as prediction from m where step > 0""",
+)
 def forecast_multistep(spark, sf):
-    return forecast.multistep(_daily(spark, sf), 4)
+    return _r(forecast.multistep(_daily(spark, sf), 4), "prediction", n=3)
 
 
-@C.add("forecast_cv")
+@C.add(
+    "forecast_cv",
+    f"""with recursive {_SERIES}, {_SES_CTE},
+    t as (select s.*, k, n // 4 as size from s, range(1, 4) r(k)),
+    ma as (select series, k, any_value(size) as size, 0 as step, list(v order by i)[-3:] as last from t where i < size * k group by series, k union all select series, k, size, step + 1, list_append(last[2:], (last[1] + last[2] + last[3]) / 3) from ma where step < size),
+    f as (select series, k, any_value(size) as size, regr_slope(v, i) as b, regr_intercept(v, i) as a from t where i < size * k group by series, k),
+    y as (select ma.series, ma.k, ma.step - 1 as h, ma.size, round((round(last[3], 6) + round(l, 6) + round(a + b * (ma.size * ma.k + ma.step - 1), 6)) / 3, 6) as y
+    from ma join f on f.series = ma.series and f.k = ma.k join ses on ses.series = ma.series and ses.i = ma.size * ma.k - 1 where step > 0),
+    c as (select y.series, y.k, avg(abs(s.v - y)) as score from y join s on s.series = y.series and s.i = y.size * y.k + h group by y.series, y.k)
+    select series, round(max(score) filter (k = 1), 3) as score_1, round(max(score) filter (k = 2), 3) as score_2, round(max(score) filter (k = 3), 3) as score_3, round(round(avg(score), 6), 3) as mean_score, round(round(stddev_pop(score), 6), 3) as std_score from c group by series""",
+)
 def forecast_cv(spark, sf):
-    return forecast.cross_validate(_daily(spark, sf))
+    c = forecast.cross_validate(_daily(spark, sf)).select("series", *[F.col("scores")[k].alias(f"score_{k + 1}") for k in range(3)], "mean_score", "std_score")
+    return _r(c, "score_1", "score_2", "score_3", "mean_score", "std_score", n=3)
 
 
-@C.add("forecast_pivot")
+@C.add("forecast_pivot", f"{_METHODS_CTE} select series, step::int as step, " + ", ".join(f"round(max(y) filter (k = {k}), 3) as {m}" for k, m in enumerate(forecast.METHODS)) + " from y group by series, step")
 def forecast_pivot(spark, sf):
     c = forecast.compared(_daily(spark, sf)).select("series", "method", F.posexplode("predictions").alias("step", "prediction"))
-    return c.groupBy("series", "step").pivot("method", list(forecast.METHODS)).agg(F.first("prediction"))
+    return _r(c.groupBy("series", "step").pivot("method", list(forecast.METHODS)).agg(F.first("prediction")), *forecast.METHODS, n=3)
 
 
 @C.add("forecast_multistep_linear", f"with {_SERIES}, f as (select series, any_value(n) as n, regr_slope(v, i) as b, regr_intercept(v, i) as a from s group by series) select series, h.h::int as step, round(a + b * (n + h.h), 2) as prediction from f, range(4) h(h)")

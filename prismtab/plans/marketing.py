@@ -116,7 +116,7 @@ def kpi_health(spark, sf):
 @C.add(
     "kpi_trend",
     """with m as (select o_orderpriority as p, date_trunc('month', o_orderdate) as mon, sum(o_totalprice) as v from orders group by all),
-r as (select p, v, row_number() over (partition by p order by mon) - 1 as i from m where mon < (select min(mon) + interval 8 month from m)),
+r as (select p, v, row_number() over (partition by p order by mon) - 1 as i from m),
 s as (select p, coalesce(regr_slope(v, i) / nullif(max(v) - min(v), 0), 0) as rel from r group by p)
 select p as priority, case when rel > 0.1 then 'improving' when rel < -0.1 then 'declining' else 'stable' end as trend, round(rel, 5) as relative_slope from s""",
 )
