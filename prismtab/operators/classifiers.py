@@ -3,18 +3,24 @@
 Both fit Spark's own linear models on rows (features, label); their models add `prediction`, as Spark's do.
 """
 
-from __future__ import annotations
-
 import numpy as np
+import pandas as pd
 from pyspark.ml import classification as C
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import LinearRegression
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _dot(values: Column, weights: np.ndarray) -> Column:
-    return F.aggregate(F.zip_with(values, F.array(*[F.lit(float(w)) for w in weights]), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+def _products(weights: np.ndarray, shifts: np.ndarray, waves: bool = False):
+    """Of an array of numbers its product with each row of weights, plus that row's shift; with waves the cosine of it. A batch at a time."""
+
+    @F.pandas_udf("array<double>")
+    def products(values: pd.Series) -> pd.Series:
+        out = np.stack(values.to_numpy()).reshape(len(values), -1) @ weights.T + shifts if len(values) else np.zeros((0, len(weights)))
+        return pd.Series(list(np.cos(out) * np.sqrt(2 / len(weights)) if waves else out))
+
+    return products
 
 
 class RidgeModel:
@@ -29,12 +35,13 @@ class RidgeModel:
         return DenseMatrix(*self.weights.shape, self.weights.ravel(order="F").tolist())
 
     def transform(self, rows: DataFrame) -> DataFrame:
-        x = vector_to_array("features")
-        scores = [_dot(x, w) + float(b) for w, b in zip(self.weights, self.intercepts, strict=True)]
-        if len(scores) == 1:
-            return rows.withColumn("prediction", F.when(scores[0] > 0, 1.0).otherwise(0.0))
-        best = F.array_max(F.array(*[F.struct(s.alias("s"), F.lit(-i).alias("i")) for i, s in enumerate(scores)]))  # the first of equal ones
-        return rows.withColumn("prediction", (-best["i"]).cast("double"))
+        kept = rows.columns
+        scored = rows.withColumn("scores__", _products(self.weights, self.intercepts)(vector_to_array("features")))
+        if len(self.weights) == 1:
+            said = F.when(F.col("scores__")[0] > 0, 1.0).otherwise(0.0)
+        else:
+            said = (F.array_position("scores__", F.array_max("scores__")) - 1).cast("double")  # the first of equal ones
+        return scored.select(*kept, said.alias("prediction"))
 
 
 class Ridge:
@@ -60,8 +67,7 @@ class KernelModel:
 
 
 def _mapped(rows: DataFrame, waves: np.ndarray, shifts: np.ndarray) -> DataFrame:
-    x, scale = vector_to_array("features"), float(np.sqrt(2 / len(waves)))
-    return rows.withColumn("waves", array_to_vector(F.array(*[scale * F.cos(_dot(x, w) + float(b)) for w, b in zip(waves, shifts, strict=True)])))
+    return rows.withColumn("waves", array_to_vector(_products(waves, shifts, True)(vector_to_array("features"))))
 
 
 class KernelSVM:
@@ -79,4 +85,8 @@ class KernelSVM:
         waves, shifts = rng.normal(0, np.sqrt(2 * gamma), (self.size, width)), rng.uniform(0, 2 * np.pi, self.size)
         one = C.LinearSVC(maxIter=50, regParam=1.0 / (n * self.c), featuresCol="waves")
         machine = one if self.n_classes <= 2 else C.OneVsRest(classifier=one, featuresCol="waves")
-        return KernelModel(machine.fit(_mapped(rows, waves, shifts).select("waves", "label")), waves, shifts)
+        mapped = _mapped(rows, waves, shifts).select("waves", "label").persist()
+        try:
+            return KernelModel(machine.fit(mapped), waves, shifts)
+        finally:
+            mapped.unpersist()
