@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,8 +38,7 @@ def dedup_fuzzy(df: DataFrame, order: list[str], subset: list[str] | None = None
     """Rows whose text columns of subset agree, after normalisation, with those of no earlier kept row in a share of threshold or more.
 
     Without subset or text columns in it, exact dedup. If all columns must agree, it is a window over the
-    normalised key. Otherwise any two rows that can agree share at least one value in one of the columns,
-    so candidates come from equi-joins, and the greedy order is settled within connected candidates.
+    normalised key. Otherwise rows that agree are equal in some choice of as many columns as must agree; see _greedy.
     """
     texts = [c for c in (subset or []) if isinstance(df.schema[c].dataType, T.StringType)]
     if not texts:
@@ -53,25 +53,24 @@ def dedup_fuzzy(df: DataFrame, order: list[str], subset: list[str] | None = None
 
 
 def _greedy(keyed: DataFrame, keys: list[str], order: list[str], threshold: float) -> DataFrame:
-    """A row goes if an earlier row that stays agrees with it. Rows with equal keys are settled first; the others in rounds:
-    what a kept row agrees with goes, and what then has no undecided earlier match is kept."""
-    need = math.ceil(threshold * len(keys) - 1e-9)
+    """A row goes if an earlier row that stays agrees with it. Rows with equal keys are settled first; the others in rounds.
+
+    Two rows agree if they are equal in some choice of `need` columns, so each choice deals the rows into groups within
+    which all agree, and no pair is ever made. In each round a row that is the first undecided one of all its
+    groups stays, and all others of its groups go. """
+    need = max(1, math.ceil(threshold * len(keys) - 1e-9))
+    choices = list(combinations(range(len(keys)), need))
     first = keyed.withColumn("rn__", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("rn__ = 1").drop("rn__")
-    cell = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).alias("v")) for i, c in enumerate(keys)]))
-    cells = first.select(F.struct(*order).alias("o"), cell.alias("c")).select("o", "c.i", "c.v")
-    a, b = cells.alias("a"), cells.alias("b")
-    pairs = a.join(b, (F.col("a.i") == F.col("b.i")) & (F.col("a.v") == F.col("b.v")) & (F.col("a.o") < F.col("b.o")))
-    edges = cut(pairs.groupBy(F.col("a.o").alias("x"), F.col("b.o").alias("y")).agg(F.count("*").alias("n")).filter(F.col("n") >= need).select("x", "y"))
-    undecided = cut(edges.select(F.col("y").alias("o")).distinct())
-    kept = cut(edges.select(F.col("x").alias("o")).distinct().join(undecided, "o", "left_anti"))
+    groups = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.array(*[F.col(keys[k]) for k in c]).alias("v")) for i, c in enumerate(choices)]))
+    undecided = cut(first.select(F.struct(*order).alias("o"), groups.alias("g")))
     dropped = None
     while not undecided.isEmpty():
-        gone = cut(edges.join(kept.select(F.col("o").alias("x")), "x", "left_semi").select(F.col("y").alias("o")).distinct().join(undecided, "o", "left_semi"))
+        heads = cut(undecided.groupBy("g").agg(F.min("o").alias("o")))
+        stays = heads.groupBy("o").agg(F.count("*").alias("n")).filter(F.col("n") == len(choices)).select("o")
+        theirs = heads.join(stays, "o", "left_semi").select("g")
+        gone = cut(undecided.join(theirs, "g", "left_semi").select("o").distinct().join(stays, "o", "left_anti"))
         dropped = gone if dropped is None else dropped.union(gone)
-        undecided = undecided.join(gone, "o", "left_anti")
-        edges = cut(edges.join(undecided.select(F.col("o").alias("x")), "x", "left_semi").join(undecided.select(F.col("o").alias("y")), "y", "left_semi"))
-        kept = cut(undecided.join(edges.select(F.col("y").alias("o")), "o", "left_anti"))
-        undecided = cut(undecided.join(kept, "o", "left_anti"))
+        undecided = cut(undecided.join(gone, "o", "left_anti").join(stays, "o", "left_anti"))
     return first if dropped is None else first.withColumn("o", F.struct(*order)).join(dropped, "o", "left_anti").drop("o")
 
 
