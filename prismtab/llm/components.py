@@ -23,10 +23,13 @@ def _star(edges: DataFrame, n_edges: int, large: bool) -> DataFrame:
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     sided = both if large else both.filter("v < u")
     least = sided.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select(F.col("u").alias("x"), F.least("u", "m").alias("m"), "n")
-    hub = max(HUB, 2 * n_edges // HUBS)  # so fewer than HUBS nodes have more edges
+    hub = max(HUB, 4 * n_edges // HUBS)  # a round has 2 * n_edges at most, so fewer than HUBS nodes have more
     hubs = F.broadcast(least.filter(F.col("n") > hub))
     at = F.col("u") == F.col("x")
-    joined = sided.join(hubs, at).select("u", "v", "m").union(sided.join(hubs, at, "left_anti").join(least.filter(F.col("n") <= hub), at).select("u", "v", "m"))
+    if 4 * n_edges <= hub:
+        joined = sided.join(least, at).select("u", "v", "m")
+    else:
+        joined = sided.join(hubs, at).select("u", "v", "m").union(sided.join(hubs, at, "left_anti").join(least.filter(F.col("n") <= hub), at).select("u", "v", "m"))
     if large:
         return joined.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
     own = joined.select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -39,8 +42,8 @@ def components(edges: DataFrame) -> DataFrame:
     The edges stay distributed; each round is written to the shared folder. Loops and repeated edges do no harm.
     """
     now = cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct())
+    n_edges = now.count()
     while not _done(now):
-        now = cut(_star(now, now.count(), True))
-        now = cut(_star(now, now.count(), False))
+        now = cut(_star(cut(_star(now, n_edges, True)), n_edges, False))
         release(now.sparkSession)
     return now.select(F.col("u").alias("node"), F.col("v").alias("root"))

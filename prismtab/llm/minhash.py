@@ -9,8 +9,8 @@ stars' components are candidate groups: every pair that shares a bucket is in on
 
 Links are confirmed on the full sets. A group up to BLOCK members is a unit of work. In a larger
 one, which may have come together by chance, every member is first compared with a few pivots; then the
-members that are not linked to the best pivot are compared with those that share a bucket with them, bucket by
-bucket, a large bucket in blocks. So the work follows the buckets and not the square of a group. Units return
+members that are not linked to the best pivot are compared with the whole group in blocks, or, where that deals fewer
+rows, with those that share a bucket with them. So the work of a chance group follows its buckets and not its square. Units return
 spanning forests of their links, never all pairs, and components are closed over confirmed links alone.
 
 A class is known by 128 bits of its set, a row by its doc_id and 64 bits of doc_id and text.
@@ -206,7 +206,7 @@ def clustered(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFram
     classes = cut(first.select("cid", F.col("first.doc_id").alias("node"), F.col("first.rk").alias("rk")))
     banded = seen.filter("bands is not null").join(classes.select("cid", "node"), "cid").select("node", F.explode("bands").alias("key"))
     same_id = seen.filter("cid is not null and doc_id is not null").join(classes.select("cid", "node"), "cid").filter("node <> doc_id")
-    buckets = cut(banded.groupBy("key").agg(F.min("node").alias("center"), F.max("node").alias("last")).filter("center <> last").select("key", "center"))
+    buckets = cut(banded.groupBy("key").agg(F.min("node").alias("center"), F.max("node").alias("last"), F.count("*").alias("n")).filter("center <> last").select("key", "center", "n"))
     stars = banded.join(buckets, "key").filter("node <> center").select(F.col("center").alias("u"), F.col("node").alias("v")).distinct()
     release(spark)
     found = components(stars)
@@ -216,13 +216,13 @@ def clustered(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFram
     text = docs.select(F.col("doc_id").cast("long").alias("node"), row_key("doc_id", "text").alias("rk"), F.coalesce("text", F.lit("")).alias("text"))
     sets = cut(_sets(text.join(wanted.hint("shuffle_hash"), ["node", "rk"]).dropDuplicates(["node", "rk"]), shingle))
     sizes = groups.groupBy("gid").agg(F.count("*").alias("size"))
-    large = cut(sizes.filter(F.col("size") > BLOCK).select("gid", F.ceil(F.col("size") / BLOCK).alias("n_blocks")))
+    large = cut(sizes.filter(F.col("size") > BLOCK).select("gid", "size", F.ceil(F.col("size") / BLOCK).alias("n_blocks")))
     release(spark)
     side = lambda k: F.lit(k).alias("side")
     small = sets.join(large, "gid", "left_anti").select("gid", side(2), "node", "shingles")
     edges = _compared(small, ["gid"], least, _forest)
     if large.limit(1).count():
-        edges = edges.union(_large(sets, large, least, banded.join(buckets.select("key"), "key")))
+        edges = edges.union(_large(sets, large, least, banded, buckets, groups))
     # Rows of one doc_id with other sets stand together.
     edges = edges.union(same_id.select(F.col("node").alias("u"), F.col("doc_id").alias("v")).join(classes.select(F.col("node").alias("v")).distinct(), "v").select("u", "v"))
     roots = components(edges)
@@ -232,8 +232,8 @@ def clustered(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFram
     return rest.join(mapped, "cid").select("doc_id", "rk", "n_shingles", "component_id").union(own)
 
 
-def _large(sets: DataFrame, large: DataFrame, least: float, banded: DataFrame) -> DataFrame:
-    """Edges within groups of more than BLOCK members. banded: node, key of buckets with two members or more."""
+def _large(sets: DataFrame, large: DataFrame, least: float, banded: DataFrame, buckets: DataFrame, groups: DataFrame) -> DataFrame:
+    """Edges within groups of more than BLOCK members. banded: node, key; buckets: key, center, n (members); groups: node, gid."""
     block = F.expr("pmod(xxhash64(node), n_blocks)").cast("int")
     members = cut(sets.join(large, "gid").withColumn("block", block))
     # Pivots: the first members of block 0 of each group, so at most PIVOTS for each group.
@@ -245,9 +245,33 @@ def _large(sets: DataFrame, large: DataFrame, least: float, banded: DataFrame) -
     counts = pivoted.groupBy("u").agg(F.count("*").alias("n")).join(pivots.select(F.col("node").alias("u"), "gid"), "u")
     best = cut(counts.groupBy("gid").agg(F.max(F.struct("n", "u")).alias("b")).select(F.col("b.u").alias("u")))
     settled = pivoted.join(best, "u", "left_semi").select(F.col("v").alias("node")).distinct()
-    loose = members.select("node").join(settled, "node", "left_anti").withColumn("loose", F.lit(1))
-    # Buckets with a member that isn't settled: each such member against all of the bucket, in blocks.
-    inside = cut(banded.join(members.select("node"), "node").join(loose, "node", "left").select("key", "node", F.coalesce("loose", F.lit(0)).alias("loose")).distinct())
+    loose = cut(members.join(settled, "node", "left_anti"))
+    parts = lambda n: F.ceil(n / BLOCK).cast("int")
+    # The rest is compared block by block of the group, or bucket by bucket where that deals fewer rows, as in a group that came together by chance.
+    of_buckets = buckets.join(groups, F.col("center") == F.col("node")).groupBy("gid").agg(F.sum(F.col("n") * parts(F.col("n"))).alias("bucket_rows"))
+    n_loose = loose.groupBy("gid").agg(F.count("*").alias("loose"), F.first("size").alias("size"), F.first("n_blocks").alias("n_blocks"))
+    block_rows = parts(F.col("loose")) * F.col("size") + F.col("loose") * F.col("n_blocks")
+    ways = cut(n_loose.join(of_buckets, "gid").select("gid", parts(F.col("loose")).alias("n_loose"), (F.col("bucket_rows") < block_rows).alias("by_bucket")))
+    edges = _by_block(loose, members, ways.filter("not by_bucket"), least).union(pivoted)
+    chosen = ways.filter("by_bucket").select("gid")
+    if chosen.limit(1).count():
+        edges = edges.union(_by_bucket(loose.join(chosen, "gid", "left_semi"), members.join(chosen, "gid", "left_semi"), banded.join(buckets.select("key"), "key"), least))
+    return edges
+
+
+def _by_block(loose: DataFrame, members: DataFrame, ways: DataFrame, least: float) -> DataFrame:
+    """Links between loose members and all of their group."""
+    n_loose = ways.select("gid", "n_loose")
+    part = F.expr("pmod(xxhash64(node, 2), n_loose)").cast("int")
+    lefts = loose.join(n_loose, "gid").select("gid", part.alias("part"), F.explode(F.sequence(F.lit(0), (F.col("n_blocks") - 1).cast("int"))).alias("block"), F.lit(0).alias("side"), "node", "shingles")
+    rights = members.join(n_loose, "gid").select("gid", F.explode(F.sequence(F.lit(0), F.col("n_loose") - 1)).alias("part"), "block", F.lit(1).alias("side"), "node", "shingles")
+    return _compared(lefts.union(rights), ["gid", "part", "block"], least, _forest)
+
+
+def _by_bucket(loose: DataFrame, members: DataFrame, banded: DataFrame, least: float) -> DataFrame:
+    """Links between loose members and those that share a bucket with them, a large bucket in blocks."""
+    marked = loose.select("node").withColumn("loose", F.lit(1))
+    inside = cut(banded.join(members.select("node"), "node").join(marked, "node", "left").select("key", "node", F.coalesce("loose", F.lit(0)).alias("loose")).distinct())
     parts = lambda n: F.ceil(n / BLOCK).cast("int")
     plan = inside.groupBy("key").agg(parts(F.sum("loose")).alias("n_left"), parts(F.count("*")).alias("n_right")).filter("n_left > 0")
     dealt = inside.join(plan, "key")
@@ -256,7 +280,7 @@ def _large(sets: DataFrame, large: DataFrame, least: float, banded: DataFrame) -
     lefts = dealt.filter("loose = 1").select("node", "key", mine("n_left", 2).alias("part"), every("n_right").alias("block"), F.lit(0).alias("side"))
     rights = dealt.select("node", "key", every("n_left").alias("part"), mine("n_right", 3).alias("block"), F.lit(1).alias("side"))
     units = lefts.union(rights).join(members.select("node", "shingles"), "node")
-    return _compared(units, ["key", "part", "block"], least, _forest).union(pivoted)
+    return _compared(units, ["key", "part", "block"], least, _forest)
 
 
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
