@@ -90,15 +90,17 @@ def likeness(a: Column, b: Column) -> Column:
 def following(rows: DataFrame) -> DataFrame:
     """rk, next_rk of rows (doc_id, rk), all different: the row after it, doc_id descending, null last; after the last comes the first.
 
-    Rows are put in order within stretches of ids between quantiles. Where a stretch ends, the next one's
-    first row follows; these are at most MOST + 1 rows, the only ones the driver sees.
+    Rows are put in order within stretches of ids between quantiles, those without an id within stretches of rk. Where a
+    stretch ends, the next one's first row follows; these are at most MOST + 256 rows, the only ones the driver sees.
+    All texts of one id are in one stretch.
     """
     n = rows.count()
     k = max(1, min(MOST, n // STRETCH))
     cuts = rows.agg(F.percentile_approx("doc_id", [i / k for i in range(1, k)] or [0.5], 20 * MOST)).first()[0] or []
     cuts = sorted(set(cuts))
     splits = F.array(*[F.lit(c).cast("long") for c in cuts]) if cuts else F.array().cast("array<long>")
-    stretch = F.when(F.col("doc_id").isNull(), -1).otherwise(F.size(F.filter(splits, lambda s: s <= F.col("doc_id"))))
+    # Rows without an id are ordered by rk alone, so 256 stretches of rk do for any number of them.
+    stretch = F.when(F.col("doc_id").isNull(), F.lit(-129) - F.shiftright("rk", 56).cast("int")).otherwise(F.size(F.filter(splits, lambda s: s <= F.col("doc_id"))))
     order = Window.partitionBy("stretch").orderBy(F.col("doc_id").desc_nulls_last(), "rk")
     placed = cut(rows.withColumn("stretch", stretch).select("rk", "stretch", F.lead("rk").over(order).alias("next_rk"), F.row_number().over(order).alias("i")))
     heads = sorted(((r["stretch"], r["rk"]) for r in placed.filter("i = 1").select("stretch", "rk").collect()), reverse=True)
