@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import math
 import random
 import time
 from collections.abc import Iterator
@@ -285,8 +286,7 @@ def tree_shap(model: Model, rows: DataFrame, names: list[str]) -> DataFrame:
             x = np.array(batch.column(0).to_pylist(), float).reshape(len(batch), len(names))
             out = np.zeros((len(batch), len(names)))
             for w, t in zip(weights, trees, strict=True):
-                for i in range(len(x)):
-                    _shap(t, x[i], out[i], w)
+                _shap(t, x, out, w)
             yield pa.record_batch([batch.column(0), pa.array(out.tolist(), pa.list_(pa.float64()))], ["features", "shap"])
 
     return rows.select(vector_to_array("features").alias("features")).mapInArrow(work, "features array<double>, shap array<double>")
@@ -313,50 +313,33 @@ def _tree_arrays(tree) -> dict:
     return out
 
 
-def _shap(tree: dict, x: np.ndarray, phi: np.ndarray, weight: float) -> None:
-    """Adds weight times the Shapley values of one tree at x to phi: each path keeps the shares of subsets by size."""
-
-    def extend(path: list, zero: float, one: float, feature: int) -> list:
-        n = len(path)
-        out = [list(p) for p in path] + [[feature, zero, one, 1.0 if n == 0 else 0.0]]
-        for i in range(n - 1, -1, -1):
-            out[i + 1][3] += one * out[i][3] * (i + 1) / (n + 1)
-            out[i][3] = zero * out[i][3] * (n - i) / (n + 1)
-        return out
-
-    def unwound(path: list, k: int) -> list:
-        n = len(path) - 1
-        zero, one = path[k][1], path[k][2]
-        out = [list(p) for p in path]
-        carry = out[n][3]
-        for i in range(n - 1, -1, -1):
-            if one != 0:
-                t = out[i][3]
-                out[i][3] = carry * (n + 1) / ((i + 1) * one)
-                carry = t - out[i][3] * zero * (n - i) / (n + 1)
-            else:
-                out[i][3] = out[i][3] * (n + 1) / (zero * (n - i))
-        for i in range(k, n):
-            out[i][:3] = out[i + 1][:3]
-        return out[:n]
-
-    def walk(node: int, path: list, zero: float, one: float, feature: int) -> None:
-        path = extend(path, zero, one, feature)
+def _shap(tree: dict, x: np.ndarray, out: np.ndarray, weight: float) -> None:
+    """Adds the tree's Shapley values of all rows of x to out.
+
+    Leaf by leaf: along the path to a leaf each feature has the share of training rows that follow it (z) and, for each row of x, whether
+    that row does (o, 0 or 1). A leaf gives a feature its value times o - z, times the mean over the orders of the
+    other features on the path of the products of their o (those before it) and z (those after it), which are the
+    coefficients of a polynomial with a factor z + o t for each.
+    """
+
+    def leaf(value: float, path: dict[int, tuple[float, np.ndarray]]) -> None:
+        m = len(path)
+        for f, (z_f, o_f) in path.items():
+            poly = [np.ones(len(x))]
+            for g, (z, o) in path.items():
+                if g != f:
+                    poly = [(poly[k] * z if k < len(poly) else 0) + (poly[k - 1] * o if k else 0) for k in range(len(poly) + 1)]
+            share = sum(c * (math.factorial(k) * math.factorial(m - k - 1) / math.factorial(m)) for k, c in enumerate(poly))
+            out[:, f] += weight * value * (o_f - z_f) * share
+
+    def visit(node: int, path: dict[int, tuple[float, np.ndarray]]) -> None:
         f = tree["feature"][node]
         if f < 0:
-            for i in range(1, len(path)):
-                w = sum(p[3] for p in unwound(path, i))
-                phi[path[i][0]] += weight * w * (path[i][2] - path[i][1]) * tree["value"][node]
+            leaf(tree["value"][node], path)
             return
-        hot, cold = (tree["left"][node], tree["right"][node]) if x[f] <= tree["threshold"][node] else (tree["right"][node], tree["left"][node])
-        z, o = 1.0, 1.0
-        for k in range(1, len(path)):
-            if path[k][0] == f:
-                z, o = path[k][1], path[k][2]
-                path = unwound(path, k)
-                break
-        cover = tree["cover"]
-        walk(hot, path, z * cover[hot] / cover[node], o, f)
-        walk(cold, path, z * cover[cold] / cover[node], 0.0, f)
-
-    walk(0, [], 1.0, 1.0, -1)
+        left = x[:, f] <= tree["threshold"][node]
+        for child, follows in ((tree["left"][node], left), (tree["right"][node], ~left)):
+            z, o = path.get(f, (1.0, np.ones(len(x))))
+            visit(child, {**path, f: (z * tree["cover"][child] / tree["cover"][node], o * follows)})
+
+    visit(0, {})
