@@ -186,7 +186,18 @@ def dedup_fuzzy(spark, sf):
     return clean.dedup_fuzzy(read(spark, sf, "documents").select("doc_id", "text"), ["doc_id"], ["text"]).select("doc_id")
 
 
-@C.add("dedup_fuzzy_share")
+def _norm(c: str) -> str:
+    return f"regexp_replace(regexp_replace(trim(lower({c})), '[^a-z0-9\\s]', '', 'g'), '\\s+', ' ', 'g')"
+
+
+@C.add(
+    "dedup_fuzzy_share",
+    f"""with recursive p as (select p_partkey, p_brand, p_type, p_name[:12] as p_name, {_norm("p_brand")} as a, {_norm("p_type")} as b, {_norm("p_name[:12]")} as c from part),
+    f as (select *, row_number() over (order by p_partkey) as n from (select * from p qualify row_number() over (partition by a, b, c order by p_partkey) = 1)),
+    e as (select y.n as y, list(x.n) as xs from f x join f y on x.n < y.n and (x.a = y.a)::int + (x.b = y.b)::int + (x.c = y.c)::int >= 2 group by y.n),
+    r as (select 0::bigint as n, []::bigint[] as kept union all select r.n + 1, case when e.xs is not null and list_has_any(kept, e.xs) then kept else list_append(kept, r.n + 1) end from r left join e on e.y = r.n + 1 where r.n < (select max(n) from f))
+    select p_partkey, p_brand, p_type, p_name from f where n in (select unnest(kept) from r where n = (select max(n) from f))""",
+)
 def dedup_fuzzy_share(spark, sf):
     p = read(spark, sf, "part").select("p_partkey", "p_brand", "p_type", F.substring("p_name", 1, 12).alias("p_name"))
     return clean.dedup_fuzzy(p, ["p_partkey"], ["p_brand", "p_type", "p_name"], 0.66)
