@@ -9,14 +9,14 @@ is built in groups of suffixes that share a prefix, whose length varies with its
    stands for it, so equal windows have equal such prefixes, and one position in seven is counted.
    Windows of a prefix that occurs once are leaves and are not looked at again.
 2. The counts say how many windows are left, hence how many groups of at most `budget` windows are
-   dealt, each group holding all suffixes of its prefixes. A prefix with more than a 32nd of the budget
-   is lengthened to the whole window first, so that its suffixes part. There are at most 32 such
-   prefixes for each budget's worth of windows, so 64 for each group: that list is what is broadcast.
-3. A group's suffixes are put in order by prefix doubling: words are named, then pairs, fours, and so on up to
-   the window, equal names for equal sequences, without hashing. A name with two suffixes or more is a deep
-   internal node. Before they are sent, a task's own suffixes are ordered the same way and only the earliest
-   of each node goes on, so a passage in a third of all documents costs a row for each task. A group that
-   is fed more than its budget is reduced to the earliest of each node whenever it is full.
+   dealt, each group holding all suffixes of its prefixes. A prefix with more than a 32nd of the budget, or
+   an eighth of what its task counts at a time, is lengthened to the whole window first, so that its suffixes part. There
+   are at most 64 such prefixes for each group and for each partition: that list is what is broadcast.
+3. A group's suffixes are put in order by their paths to the depth of a window; neighbours in that order are
+   compared symbol by symbol, and a stretch of equal ones is a deep internal node. Before they are sent, a task's own
+   suffixes are ordered the same way and only the earliest of each node goes on, so a passage in a third of all
+   documents costs a row for each task. A group that is fed more than its budget is reduced to the earliest of each
+   node whenever it is full.
 
 Suffixes travel as packed stretches of symbols with their places, never as text; the documents' text
 is shuffled once, for both joins back to it.
@@ -41,8 +41,8 @@ from prismtab.llm.words import gram_hashes, mix, spans, word_hashes
 WINDOW, PREFIX = 20, 8
 #: Windows that a task holds at a time, at about 35 bytes sent and 200 in work for each; raise it with the executors' memory.
 BUDGET = 1 << 20
-#: A prefix with more than BUDGET / LONGER windows is lengthened; stretches of a partition that are gathered one by one.
-LONGER, SUBS = 32, 8
+#: A prefix with more than BUDGET / LONGER windows, or more than a HOT-th of its stretch, is lengthened; stretches of a partition, gathered one by one.
+LONGER, HOT, SUBS = 32, 8, 8
 _LAST = np.iinfo(np.int64).max
 #: What one flush says of a prefix: its windows, and this bit if it occurs more than once.
 _MANY, _MOST = np.uint32(1 << 31), (1 << 31) - 1
@@ -263,7 +263,7 @@ def repeated_prefixes(docs: DataFrame, window: int, prefix: int, budget: int) ->
                 n = np.add.reduceat((said & ~_MANY).astype(np.int64), lead)
                 many = (times > 1) | (said[lead] >= _MANY)
                 total += int(n[many].sum())
-                long.append(h[lead][many & (n > budget // LONGER)])
+                long.append(h[lead][many & ((n > budget // LONGER) | (n > max(64, int(n.sum()) // HOT)))])
                 many = np.repeat(many, times)
                 yield from _to_documents(rk[many], [rk[many], pos[many]], ("i8", "i4"), n_parts, part_key, 0)
             if total:
@@ -307,24 +307,24 @@ class Suffixes:
         return many[0] if len(many) == 1 else Suffixes(*[np.concatenate([getattr(x, c) for x in many]) for c in ("doc", "rk", "pos", "n", "symbols")])
 
 
-def names(symbols: np.ndarray, n: int) -> np.ndarray:
-    """A number for each n symbols in a row, equal where these are: by prefix doubling, max(0, len(symbols) - n + 1) of them."""
-    size = len(symbols) - n + 1
-    if size < 1:
-        return np.zeros(0, np.int64)
+def nodes(symbols: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
+    """For each suffix, beginning at a place of symbols, the number of its node at this depth: equal where its first `depth` symbols are.
 
-    def both(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return np.unique(a * (int(b.max()) + 1) + b, return_inverse=True)[1]
-
-    out, at, half, step = None, 0, np.unique(symbols, return_inverse=True)[1], 1
-    while True:
-        if n & step:
-            part = half[at : at + size]
-            out = part if out is None else both(out, part)
-            at += step
-        if 2 * step > n:
-            return out
-        half, step = both(half[: len(half) - step], half[step:]), 2 * step
+    Suffixes are put in order by a hash of their path, and each is compared with the one before it, symbol by
+    symbol. Should two paths share a hash, all are put in order by their symbols.
+    """
+    path = gram_hashes(symbols, depth)[at]
+    order = np.argsort(path, kind="stable")
+    new = np.append(True, path[order][1:] != path[order][:-1])[: len(at)]
+    same = np.flatnonzero(~new)
+    one, other = at[order[same]], at[order[same - 1]]
+    if not all(np.array_equal(symbols[one + k], symbols[other + k]) for k in range(depth)):
+        rows = symbols[at[:, None] + np.arange(depth)]
+        order = np.lexsort(rows.T[::-1])
+        new = np.append(True, (rows[order][1:] != rows[order][:-1]).any(1))
+    out = np.empty(len(at), np.int64)
+    out[order] = np.cumsum(new) - 1
+    return out
 
 
 def earliest(s: Suffixes, window: int) -> tuple[np.ndarray, tuple[np.ndarray, ...], Suffixes]:
@@ -337,7 +337,7 @@ def earliest(s: Suffixes, window: int) -> tuple[np.ndarray, tuple[np.ndarray, ..
     owner = np.repeat(np.arange(len(s.n)), s.n)
     at = ragged(off, s.n)
     start = at - off[owner] + s.pos[owner]
-    name = names(s.symbols, window)[at]
+    name = nodes(s.symbols, at, window)
     twice = np.flatnonzero(np.bincount(name)[name] > 1)
     o = owner[twice]
     order = np.lexsort((start[twice], s.rk[o], s.doc[o], name[twice]))
@@ -380,7 +380,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX
     """
     n_parts = partitions(docs.sparkSession)
     prefixes = cut(repeated_prefixes(docs, window, prefix, budget))
-    # One row for each task that found any; its prefixes are at most LONGER for each budget of windows, so 2 * LONGER for each group.
+    # One row for each task that found any; its prefixes are at most LONGER for each budget of windows, so 2 * LONGER for each group, and HOT for each of SUBS stretches.
     said = [unpack([r["blob"]], ("u8",))[0] for r in prefixes.filter("kind = 2").select("blob").collect()]
     total = sum(int(x[0]) for x in said)
     long = np.sort(np.concatenate([np.zeros(0, "u8"), *[x[1:] for x in said]]))
