@@ -15,8 +15,9 @@ def _done(edges: DataFrame) -> bool:
     """Is every edge one from a node with no other edge to a root?"""
     if edges.groupBy("u").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count():
         return False
-    # Nodes are made distinct where they are, so that a root of very many edges is one row for each task.
-    return not edges.select("v").distinct().join(edges.select(F.col("u").alias("v")).distinct(), "v", "left_semi").limit(1).count()
+    # Nodes are made distinct where they are, so that a root of very many edges is one row for each task. An inner join, as a
+    # semi-join would be moved below that step.
+    return not edges.select("v").distinct().join(edges.select(F.col("u").alias("v")).distinct(), "v").limit(1).count()
 
 
 def _star(edges: DataFrame, n_edges: int, large: bool) -> DataFrame:
