@@ -386,6 +386,14 @@ def test_near_duplicates(docs, empty, corpus, shingle):
     assert len(set(roots.values())) < len(roots) - 8 and minhash.clustered(empty, shingle).count() == 0
 
 
+def test_words_that_sums_confuse_are_two(spark):
+    a, b = thue_morse(2048)
+    got = {r["doc_id"]: r["component_id"] for r in minhash.clustered(spark.createDataFrame([(1, a), (2, b), (3, f"{a} {a}"), (4, f"{b} {b}")], "doc_id long, text string"), 2).collect()}
+    assert got == {1: 1, 2: 2, 3: 3, 4: 4}
+    rows, hashes = toxicity.features(pa.array([a, b]))
+    assert hashes[rows == 0][0] != hashes[rows == 1][0]
+
+
 @pytest.mark.parametrize("by_bucket", [False, True])
 def test_large_groups(spark, monkeypatch, by_bucket):
     monkeypatch.setattr(minhash, "BLOCK", 8)
