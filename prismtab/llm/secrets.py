@@ -93,25 +93,32 @@ def found(text: Column, pattern: str) -> Column:
 
 def normal_tail(z: Column) -> Column:
     """P(Z > z) of the standard normal, to about 1e-7 relative to its size (erfc by a rational exponential)."""
-    x = F.least(F.abs(z), F.lit(35.0)) / F.lit(2**0.5)
-    t = 1.0 / (1.0 + 0.5 * x)
     terms = (-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277)
-    poly = F.lit(terms[-1])
-    for c in terms[-2::-1]:
-        poly = F.lit(c) + t * poly
-    upper = 0.5 * t * F.exp(-x * x + poly)
-    return F.when(z >= 0, upper).otherwise(1.0 - upper)
+
+    def upper(x: Column) -> Column:
+        def at(t: Column) -> Column:
+            poly = F.lit(terms[-1])
+            for c in terms[-2::-1]:
+                poly = F.lit(c) + t * poly
+            return 0.5 * t * F.exp(-x * x + poly)
+
+        return _once(1.0 / (1.0 + 0.5 * x), at)
+
+    # Each value that is used more than once has a name of its own, or the expression would double with each use.
+    return _once(z.cast("double"), lambda z: _once(_once(F.least(F.abs(z), F.lit(35.0)) / F.lit(2**0.5), upper), lambda u: F.when(z >= 0, u).otherwise(1.0 - u)))
 
 
 def fisher(ps: list[Column]) -> Column:
     """Fisher's method: the p-value of all together."""
-    h = -sum((F.ln(F.greatest(F.lit(1e-300), F.least(F.lit(1.0), p))) for p in ps), F.lit(0.0))
-    series = F.lit(1.0)
-    term = F.lit(1.0)
-    for j in range(1, len(ps)):
-        term = term * h / j
-        series = series + term
-    return F.least(F.lit(1.0), F.exp(-h) * series)
+
+    def joined(h: Column) -> Column:
+        series, term = F.lit(1.0), F.lit(1.0)
+        for j in range(1, len(ps)):
+            term = term * h / j
+            series = series + term
+        return F.least(F.lit(1.0), F.exp(-h) * series)
+
+    return _once(-sum((F.ln(F.greatest(F.lit(1e-300), F.least(F.lit(1.0), p))) for p in ps), F.lit(0.0)), joined)
 
 
 def tested(tokens: Column) -> Column:
@@ -162,8 +169,8 @@ def tested(tokens: Column) -> Column:
         p_serial = 1 - normal_tail(c["serial"] - c["rho"] * F.sqrt(n - 1))
         p_text = fisher([p_flat, p_changes, p_serial])
         cls = c["sort"] * 100 + sum(((c["n"] >= k).cast("int") for k in LENGTHS[1:]), F.lit(0))
-        level = F.least(F.lit(LAST), F.floor(-F.log10(F.greatest(F.lit(1e-300), p_text)) * PER_TEN)).cast("int")
-        return F.struct(c["start"].alias("start"), c["end"].alias("end"), c["match"].alias("match"), c["encoding"].alias("encoding"), p_random.alias("p_random"), p_text.alias("p_text"), cls.alias("cls"), level.alias("level"))
+        level = lambda p: F.least(F.lit(LAST), F.floor(-F.log10(F.greatest(F.lit(1e-300), p)) * PER_TEN)).cast("int")
+        return _once(p_text, lambda p: F.struct(*[c[x].alias(x) for x in ("start", "end", "match", "encoding")], p_random.alias("p_random"), p.alias("p_text"), cls.alias("cls"), level(p).alias("level")))
 
     return _let(_let(_let(_let(tokens, shape), symbols), counted), judged)
 
