@@ -32,6 +32,8 @@ from prismtab.llm.words import LOWER, gram_hashes, mix, spans, turned, word_hash
 #: A pair at similarity 0.8 shares none of 48 bands of 6 bins with a probability of about 5e-7.
 BANDS, ROWS = 48, 6
 BLOCK, PIVOTS = 256, 16
+#: Row keys of grouped classes that are broadcast at most, 8 bytes each; beyond them all texts are dealt.
+FETCHED = 4_000_000
 #: Shingles that one step of a unit's comparison works on.
 COLUMNS = 8192
 
@@ -212,8 +214,10 @@ def clustered(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFram
     found = components(stars)
     groups = cut(found.select("node", F.col("root").alias("gid")).union(found.select(F.col("root").alias("node"), F.col("root").alias("gid"))).distinct())
     # Class rows to fetch, with their sets: those in groups, once each.
-    wanted = classes.join(groups, "node").select("rk", "node", "gid")
+    wanted = cut(classes.join(groups, "node").select("rk", "node", "gid"))
     text = docs.select(F.col("doc_id").cast("long").alias("node"), row_key("doc_id", "text").alias("rk"), F.coalesce("text", F.lit("")).alias("text"))
+    if wanted.count() <= FETCHED:  # only their texts are dealt, not all
+        text = text.join(F.broadcast(wanted.select("rk").distinct()), "rk", "left_semi").select("node", "rk", "text")
     sets = cut(_sets(text.join(wanted.hint("shuffle_hash"), ["node", "rk"]).dropDuplicates(["node", "rk"]), shingle))
     sizes = groups.groupBy("gid").agg(F.count("*").alias("size"))
     large = cut(sizes.filter(F.col("size") > BLOCK).select("gid", "size", F.ceil(F.col("size") / BLOCK).alias("n_blocks")))

@@ -526,3 +526,14 @@ def test_steps_and_nulls():
 
     b = pa.record_batch([pa.array([None, "a" * 10, "", "b" * 3, None])], ["t"])
     assert [p.num_rows for p in steps(b, "t", 5)] == [1, 1, 2, 1] or sum(p.num_rows for p in steps(b, "t", 5)) == 5
+
+
+def test_near_duplicates_deal_only_the_texts_of_groups(spark, monkeypatch):
+    plans, real = [], minhash._sets
+    monkeypatch.setattr(minhash, "_sets", lambda docs, shingle: plans.append(docs._jdf.queryExecution().optimizedPlan().toString()) or real(docs, shingle))
+    docs = spark.createDataFrame([(1, "a b c d e"), (2, "a b c  d e"), (3, "f g h i j"), (4, "k l m n o")], "doc_id long, text string")
+    for most in (4_000_000, -1):
+        monkeypatch.setattr(minhash, "FETCHED", most)
+        got = {r["doc_id"]: r["component_id"] for r in minhash.clustered(docs, 2, 0.8).collect()}
+        assert got == {1: 1, 2: 1, 3: 3, 4: 4}
+    assert "LeftSemi" in plans[0] and "LeftSemi" not in plans[1]
