@@ -508,3 +508,22 @@ def test_dbscan_equals_definition_without_writing_pairs(spark, monkeypatch):
     df = spark.createDataFrame([(int(i), *map(float, v)) for i, v in zip(ids, x, strict=True)], "i int, a double, b double")
     assert {r["row_id"]: r["label"] for r in cluster.dbscan(df, "i", ["a", "b"], eps, least, scale=False).collect()} == want
     assert max(sizes) <= 2 * len(x) < near.sum()
+
+
+@pytest.mark.parametrize("largest", [False, True])
+def test_nearest_within_boxes_equal_all_compared(monkeypatch, largest):
+    from prismtab.functions import nearest
+
+    rng = np.random.default_rng(18)
+    compared, real = [0], nearest._length
+    monkeypatch.setattr(nearest, "_length", lambda gap, m: compared.__setitem__(0, compared[0] + gap.shape[0] * gap.shape[1]) or real(gap, m))
+    for x in (rng.standard_normal((3000, 2)), np.round(rng.standard_normal((3000, 2)), 1), rng.integers(0, 3, (3000, 1)).astype(float)):
+        for mine, same in ((x, True), (x[:50] + 0.01, False)):
+            d = real(mine[:, None, :] - x[None], largest)
+            if same:
+                np.fill_diagonal(d, np.inf)
+            want = np.argsort(d, axis=1, kind="stable")[:, :3]
+            compared[0] = 0
+            dist, place = nearest._best(mine, x, 3, largest, same)
+            assert (place == want).all() and (dist == np.take_along_axis(d, want, 1)).all()
+            assert compared[0] < len(mine) * len(x) or len(np.unique(x)) == 3
