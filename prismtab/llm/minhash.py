@@ -13,7 +13,8 @@ members that are not linked to the best pivot are compared with the whole group
 rows, with those that share a bucket with them. So the work of a chance group follows its buckets and not its square. Units return
 spanning forests of their links, never all pairs, and components are closed over confirmed links alone.
 
-A class is known by 128 bits of its set, a row by its doc_id and 64 bits of doc_id and text.
+All bands are dealt once, each with 64 bits of its class; only those that several classes have are kept. A class
+is known by 128 bits of its set, a row by its doc_id and 64 bits of doc_id and text.
 """
 
 from __future__ import annotations
@@ -189,9 +190,18 @@ def _sets(docs: DataFrame, shingle: int) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for some in steps(batch, "text"):
-                yield pa.record_batch([some.column(0), some.column(1), pa.array([s.tobytes() for s in shingle_sets(some.column(2), shingle)], pa.binary())], ["node", "gid", "shingles"])
+                yield pa.record_batch([*some.columns[:3], pa.array([s.tobytes() for s in shingle_sets(some.column(3), shingle)], pa.binary())], ["node", "gid", "size", "shingles"])
 
-    return docs.select("node", "gid", "text").mapInArrow(work, "node long, gid long, shingles binary")
+    return docs.select("node", "gid", "size", "text").mapInArrow(work, "node long, gid long, size long, shingles binary")
+
+
+def _shared(marked: DataFrame, classes: DataFrame) -> DataFrame:
+    """node, key: the bands of each class that another class has too."""
+    tag = F.xxhash64("cid").alias("tag")
+    of_key = Window.partitionBy("key")
+    dealt = marked.filter("bands is not null").select(tag, F.explode("bands").alias("key"))
+    several = dealt.select("key", "tag", F.min("tag").over(of_key).alias("least"), F.max("tag").over(of_key).alias("most")).filter("least <> most")
+    return cut(several.join(classes.select(tag, "node"), "tag").select("node", "key").distinct())
 
 
 def clustered(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
@@ -203,30 +213,33 @@ def clustered(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFram
     document: what is linked with one is linked with all. Other columns are not read; an empty table gives none.
     """
     spark = docs.sparkSession
-    seen = cut(fingerprinted(docs, shingle))
+    marked = cut(fingerprinted(docs, shingle))
+    seen = cut(marked.drop("bands"))
     first = seen.filter("cid is not null and doc_id is not null").groupBy("cid").agg(F.min(F.struct("doc_id", "rk")).alias("first"))
     classes = cut(first.select("cid", F.col("first.doc_id").alias("node"), F.col("first.rk").alias("rk")))
-    banded = seen.filter("bands is not null").join(classes.select("cid", "node"), "cid").select("node", F.explode("bands").alias("key"))
+    banded = _shared(marked, classes)
+    del marked  # and with it the bands that no other class has
+    release(spark)
     same_id = seen.filter("cid is not null and doc_id is not null").join(classes.select("cid", "node"), "cid").filter("node <> doc_id")
     buckets = cut(banded.groupBy("key").agg(F.min("node").alias("center"), F.max("node").alias("last"), F.count("*").alias("n")).filter("center <> last").select("key", "center", "n"))
     stars = banded.join(buckets, "key").filter("node <> center").select(F.col("center").alias("u"), F.col("node").alias("v")).distinct()
     release(spark)
     found = components(stars)
     groups = cut(found.select("node", F.col("root").alias("gid")).union(found.select(F.col("root").alias("node"), F.col("root").alias("gid"))).distinct())
+    sizes = groups.groupBy("gid").agg(F.count("*").alias("size"))
+    large = cut(sizes.filter(F.col("size") > BLOCK).select("gid"))
     # Class rows to fetch, with their sets: those in groups, once each.
-    wanted = cut(classes.join(groups, "node").select("rk", "node", "gid"))
+    wanted = cut(classes.join(groups, "node").join(sizes, "gid").select("rk", "node", "gid", "size"))
     text = docs.select(F.col("doc_id").cast("long").alias("node"), row_key("doc_id", "text").alias("rk"), F.coalesce("text", F.lit("")).alias("text"))
     if wanted.count() <= FETCHED:  # only their texts are dealt, not all
         text = text.join(F.broadcast(wanted.select("rk").distinct()), "rk", "left_semi").select("node", "rk", "text")
     sets = cut(_sets(text.join(wanted.hint("shuffle_hash"), ["node", "rk"]).dropDuplicates(["node", "rk"]), shingle))
-    sizes = groups.groupBy("gid").agg(F.count("*").alias("size"))
-    large = cut(sizes.filter(F.col("size") > BLOCK).select("gid", "size", F.ceil(F.col("size") / BLOCK).alias("n_blocks")))
     release(spark)
     side = lambda k: F.lit(k).alias("side")
-    small = sets.join(large, "gid", "left_anti").select("gid", side(2), "node", "shingles")
+    small = sets.filter(F.col("size") <= BLOCK).select("gid", side(2), "node", "shingles")
     edges = _compared(small, ["gid"], least, _forest)
     if large.limit(1).count():
-        edges = edges.union(_large(sets, large, least, banded, buckets, groups))
+        edges = edges.union(_large(sets.filter(F.col("size") > BLOCK), large, least, banded, buckets, groups))
     # Rows of one doc_id with other sets stand together.
     edges = edges.union(same_id.select(F.col("node").alias("u"), F.col("doc_id").alias("v")).join(classes.select(F.col("node").alias("v")).distinct(), "v").select("u", "v"))
     roots = components(edges)
@@ -237,9 +250,9 @@ def clustered(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFram
 
 
 def _large(sets: DataFrame, large: DataFrame, least: float, banded: DataFrame, buckets: DataFrame, groups: DataFrame) -> DataFrame:
-    """Edges within groups of more than BLOCK members. banded: node, key; buckets: key, center, n (members); groups: node, gid."""
+    """Edges within groups of more than BLOCK members. sets: of their members; large: their gid; banded: node, key; buckets: key, center, n (members); groups: node, gid."""
     block = F.expr("pmod(xxhash64(node), n_blocks)").cast("int")
-    members = cut(sets.join(large, "gid").withColumn("block", block))
+    members = cut(sets.withColumn("n_blocks", F.ceil(F.col("size") / BLOCK)).withColumn("block", block))
     # Pivots: the first members of block 0 of each group, so at most PIVOTS for each group.
     ranked = members.filter("block = 0").select("gid", "node", "n_blocks", F.row_number().over(Window.partitionBy("gid").orderBy(F.xxhash64("node", F.lit(1)))).alias("r"))
     pivots = cut(ranked.filter(F.col("r") <= PIVOTS).join(members.select("node", "gid", "shingles"), ["gid", "node"]))
@@ -252,7 +265,7 @@ def _large(sets: DataFrame, large: DataFrame, least: float, banded: DataFrame, b
     loose = cut(members.join(settled, "node", "left_anti"))
     parts = lambda n: F.ceil(n / BLOCK).cast("int")
     # The rest is compared block by block of the group, or bucket by bucket where that deals fewer rows, as in a group that came together by chance.
-    of_buckets = buckets.join(groups, F.col("center") == F.col("node")).groupBy("gid").agg(F.sum(F.col("n") * parts(F.col("n"))).alias("bucket_rows"))
+    of_buckets = buckets.join(groups.join(large, "gid"), F.col("center") == F.col("node")).groupBy("gid").agg(F.sum(F.col("n") * parts(F.col("n"))).alias("bucket_rows"))
     n_loose = loose.groupBy("gid").agg(F.count("*").alias("loose"), F.first("size").alias("size"), F.first("n_blocks").alias("n_blocks"))
     block_rows = parts(F.col("loose")) * F.col("size") + F.col("loose") * F.col("n_blocks")
     ways = cut(n_loose.join(of_buckets, "gid").select("gid", parts(F.col("loose")).alias("n_loose"), (F.col("bucket_rows") < block_rows).alias("by_bucket")))

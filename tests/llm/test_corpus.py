@@ -537,3 +537,22 @@ def test_near_duplicates_deal_only_the_texts_of_groups(spark, monkeypatch):
         got = {r["doc_id"]: r["component_id"] for r in minhash.clustered(docs, 2, 0.8).collect()}
         assert got == {1: 1, 2: 1, 3: 3, 4: 4}
     assert "LeftSemi" in plans[0] and "LeftSemi" not in plans[1]
+
+
+def test_near_duplicates_deal_bands_once_and_sets_by_unit(spark, monkeypatch):
+    plans, units = [], []
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    cut, compared = minhash.cut, minhash._compared
+    for module in ("minhash", "components"):
+        monkeypatch.setattr(f"prismtab.llm.{module}.cut", lambda df: plans.append(plan(df)) or cut(df))
+    monkeypatch.setattr(minhash, "_compared", lambda rows, *rest: units.append(plan(rows)) or compared(rows, *rest))
+    monkeypatch.setattr(minhash, "BLOCK", 8)
+    rng = random.Random(5)
+    rows = [(i, " ".join(f"w{k}" if rng.random() > 0.04 else f"n{rng.randrange(10**6)}" for k in range(60))) for i in range(30)]
+    rows += [(100 + i, " ".join(f"v{i}x{k}" for k in range(60 + i % 2))) for i in range(6)] + [(110 + i, " ".join(f"v{i}x{k}" for k in range(61))) for i in range(6)]
+    rows += [(None, " ".join(f"z{k}" for k in range(40))), (200, " ".join(f"z{k}" for k in range(40))), (201, " ".join(f"z{k}" for k in range(41)))]
+    _, roots = linked([r for r in rows if r[0] is not None], 2, 0.8)
+    got = {r["doc_id"]: r["component_id"] for r in minhash.clustered(spark.createDataFrame(rows, "doc_id long, text string").repartition(1), 2, 0.8).collect()}
+    assert got == roots | {None: None} and roots[201] == 200 and roots[111] == 101
+    assert sum(p.count("explode(bands") for p in plans) == 1
+    assert len(units) > 1 and "Join" not in units[0]
