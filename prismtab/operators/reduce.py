@@ -41,7 +41,9 @@ def fit(df: DataFrame, columns: list[str]) -> Components:
     n, means, s = centred_gram(rows, columns)
     widths = np.sqrt(np.diag(s) / max(n, 1))
     widths = np.where(widths > 0, widths, 1.0)
-    values, vectors = np.linalg.eigh(s / max(n - 1, 1) / np.outer(widths, widths))
+    scaled = s / max(n - 1, 1) / np.outer(widths, widths)
+    np.fill_diagonal(scaled, np.where(np.diag(s) > 0, n / max(n - 1, 1), 0.0))  # alike to the last digit, as nearly uncorrelated columns have axes that a digit would turn
+    values, vectors = np.linalg.eigh(scaled)
     order = np.argsort(-values, kind="stable")[: min(n, len(columns))]
     values, vectors = np.maximum(values[order], 0), vectors[:, order].T
     sign = np.sign(vectors[np.arange(len(vectors)), np.abs(vectors).argmax(1)]) if len(vectors) else np.zeros(0)

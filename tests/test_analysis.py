@@ -538,3 +538,28 @@ def test_silhouettes_of_many_labels_compare_rows_once(spark, monkeypatch):
     monkeypatch.setattr(cluster, "cut", lambda d: cuts.append(1) or kept(d))
     assert cluster.silhouettes(df, ["a", "b"], ["p", "q", "one"]) == pytest.approx(want, abs=1e-12) and want[2] == -1.0
     assert len(cuts) == 3
+
+
+@pytest.mark.parametrize("sign", [-1, 0, 1])
+def test_pca_two_is_its_sql_however_the_columns_are_correlated(spark, tmp_path, sign):
+    import duckdb
+
+    from prismtab import catalog
+
+    rng = np.random.default_rng(20)
+    q = rng.integers(1, 51, 400).astype(float)
+    e = np.round(50000 + 300 * sign * q + 9000 * rng.standard_normal(400), 2) if sign else np.concatenate([q[:200], 51 - q[:200]])
+    q = q if sign else np.concatenate([q[:200], q[:200]])
+    li = spark.createDataFrame([(i, 1, *map(float, v), 0.0, 0.0) for i, v in enumerate(zip(q, e, strict=True))], "l_orderkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double")
+    li.write.parquet(f"{tmp_path}/lineitem.parquet")
+    duckdb.sql(f"create or replace view lineitem as select * from '{tmp_path}/lineitem.parquet/*.parquet'")
+    want = sorted(duckdb.sql(catalog.ORACLE_SQL["pca_two"]).fetchall())
+    assert sorted((r["row_id"], r["pc1"]) for r in catalog.QUERIES["pca_two"](spark, str(tmp_path)).collect()) == want
+
+
+def test_components_of_nearly_uncorrelated_columns(spark):
+    df = spark.range(0, 4000, 1, 3).selectExpr("(id * 7919 % 4001) * 0.1D + 3 as a", "(id * id % 3989) * 1e3D + 0.7 as b")
+    n, _, s = regression.centred_gram(df, ["a", "b"])
+    assert abs(s[0, 1]) < 0.1 * math.sqrt(s[0, 0] * s[1, 1])
+    c = reduce.fit(df, ["a", "b"])
+    assert np.abs(c.vectors) == pytest.approx(np.full((2, 2), math.sqrt(0.5)), abs=3e-16)
