@@ -563,3 +563,31 @@ def test_components_of_nearly_uncorrelated_columns(spark):
     assert abs(s[0, 1]) < 0.1 * math.sqrt(s[0, 0] * s[1, 1])
     c = reduce.fit(df, ["a", "b"])
     assert np.abs(c.vectors) == pytest.approx(np.full((2, 2), math.sqrt(0.5)), abs=3e-16)
+
+
+def test_boosted_trees_of_many_classes_are_sparks(spark):
+    from pyspark.ml.classification import GBTClassifier, OneVsRest
+
+    from prismtab.operators.boosting import ManyClasses
+
+    rng = np.random.default_rng(21)
+    x = np.stack([rng.integers(0, 9, 700), rng.integers(0, 6, 700) * 0.5, rng.integers(0, 3, 700)], 1)
+    y = (x[:, 0] + 2 * x[:, 1] + rng.integers(0, 3, 700)) // 4
+    rows = _points(spark, x, y).withColumnRenamed("_1", "features").withColumnRenamed("_2", "label").cache()
+    want, got = OneVsRest(classifier=GBTClassifier(maxIter=12, maxDepth=3)).fit(rows), ManyClasses(12, 3).fit(rows)
+    shares = np.mean([m.featureImportances.toArray() for m in want.models], axis=0)
+    assert got.featureImportances.toArray() == pytest.approx(shares, abs=1e-9)
+    said = lambda m: sorted((*r["features"].toArray(), r["label"], r["prediction"]) for r in m.transform(rows).collect())
+    assert said(got) == said(want)
+
+
+def test_training_for_many_classes_is_no_fit_for_each(spark, monkeypatch):
+    from pyspark.ml import classification
+
+    fits, real = [], classification.GBTClassifier.fit
+    monkeypatch.setattr(classification.GBTClassifier, "fit", lambda *a, **b: fits.append(1) or real(*a, **b))
+    df = spark.range(0, 3000, 1, 3).selectExpr("cast(id % 30 as int) as a", "concat('b', id % 7) as b", "(id % 30) * 1.5D as y")
+    got = models.train(df, "y")
+    assert got["task"] == "classification" and len(got["labels"]) == 30 and not fits
+    assert got["metrics"]["accuracy"] > 0.9 and got["importances"]["a"] > 0.9
+    assert got["predictions"].count() == got["predictions"].filter("prediction between 0 and 29").count() > 400
