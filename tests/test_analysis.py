@@ -617,3 +617,22 @@ def test_ward_joins_blocks_of_centers(spark, monkeypatch):
     monkeypatch.setattr(cluster, "AGGLOMERATE", 30)
     monkeypatch.setattr(cluster, "CENTERS", 80)
     assert [r["label"] for r in cluster.hierarchical(df, "i", ["a", "b"], 5).orderBy("row_id").collect()] == want
+
+
+@pytest.mark.parametrize("largest", [False, True])
+def test_nearest_on_lines_equal_all_compared(monkeypatch, largest):
+    from prismtab.functions import nearest
+
+    rng = np.random.default_rng(24)
+    values, noise = rng.integers(0, 9, 3000) * 0.1, 1e-10 * rng.standard_normal((3000, 2))
+    copies = np.repeat(np.column_stack([values, rng.standard_normal(3000)])[:100], 30, axis=0) + noise
+    boxed, real = [0], nearest._best_by_box
+    monkeypatch.setattr(nearest, "_best_by_box", lambda mine, *a: boxed.__setitem__(0, len(mine)) or real(mine, *a))
+    for x in (np.column_stack([values, rng.standard_normal(3000)]) + noise, np.column_stack([np.round(rng.standard_normal(3000), 1), values]), copies, copies[:, ::-1], np.zeros((90, 2))):
+        d = nearest._length(x[:, None, :] - x[None], largest)
+        np.fill_diagonal(d, np.inf)
+        want = np.argsort(d, axis=1, kind="stable")[:, :3]
+        boxed[0] = 0
+        dist, place = nearest._best(x, x, 3, largest, True)
+        assert (place == want).all() and (dist == np.take_along_axis(d, want, 1)).all()
+        assert boxed[0] < 300 or len(np.unique(x)) < 100
